@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 #: Hub rounds go on while comparing the rest in full would take more than so many pairs a membership.
-REST_PAIRS_A_ROW, MOST_HUB_ROUNDS = 1.0, 6
+REST_PAIRS_A_ROW, MOST_HUB_ROUNDS = 1.0, 2
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -49,40 +49,46 @@ def connected_components(links: DataFrame) -> DataFrame:
     return out.union(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
 
 
-def linked_groups(members: DataFrame, confirm: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def linked_groups(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], bound: Callable[[DataFrame], DataFrame] | None = None, possible: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``members``: distinct (key, id), keys with at least two ids. ``confirm``: (a, b) pairs to the linked ones among them.
 
+    ``bound`` gives further columns of ids (a row each), and ``possible`` is SQL over those columns of two ids, as x.* and y.*, that
+    holds for every linked pair: it keeps pairs that can't be linked from being made at all.
     Returns (id, component) of the ids that have a link, and the confirmed links (a, b).
     """
     spread = members.groupBy("key").agg(F.min("id").alias("h1"), F.max("id").alias("h2"), F.count(F.lit(1)).alias("n"))
     hubs = spread.select("key", F.explode(F.array("h1", "h2")).alias("hub"))
-    pairs = _pairs(members.join(hubs, "key"))
-    tested = materialise(pairs, "pairs")
+    tested = materialise(_pairs(members.join(hubs, "key")), "pairs")
     links = materialise(confirm(tested), "links")
     # two hubs are compared with all others: that is every pair of a bucket of up to three
     members = materialise(members.join(spread.where("n > 3").select("key"), "key", "left_semi"), "members")
     rows = members.count()
-    if not rows:
-        return connected_components(links), links
-    for round_ in range(MOST_HUB_ROUNDS + 1):
-        groups = connected_components(links)
-        rest = _rest(members, groups)
+    groups = connected_components(links)
+    for round_ in range(MOST_HUB_ROUNDS + 1 if rows else 0):
+        rest = materialise(_rest(members, groups), "rest")
+        if bound is None:
+            known = rest.select("id").distinct()
+        else:
+            known = materialise(bound(rest.select("id").distinct()), "bounds")
+        x = rest.select("key", "id", "component").join(known, "id").alias("x")
+        y = rest.where("minor").select("key", F.col("id").alias("hub"), "component").join(known.withColumnRenamed("id", "hub"), "hub").alias("y")
         cost = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("minor").alias("k")).agg(F.sum(F.col("n") * F.col("k"))).first()[0]
         if not cost:
-            return groups, links
-        last = cost <= max(10_000, REST_PAIRS_A_ROW * rows) or round_ == MOST_HUB_ROUNDS
-        minor = rest.where("minor").select("key", F.col("id").alias("hub"), F.col("component").alias("of"))
+            break
+        last = bound is not None or cost <= max(10_000, REST_PAIRS_A_ROW * rows) or round_ == MOST_HUB_ROUNDS
         if not last:
             order = F.xxhash64("hub", F.lit(round_))
-            minor = minor.groupBy("key").agg(F.min_by(F.struct("hub", "of"), order).alias("x")).select("key", "x.hub", "x.of")
-        others = rest.select("key", "id", "component")
-        more = _pairs(others.join(minor, "key").where("component <> of"))
+            y = y.groupBy("key").agg(F.min_by(F.struct("hub", "component"), order).alias("z")).select("key", "z.hub", "z.component").alias("y")
+        apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
+        apart = apart & F.expr(possible) if possible else apart
+        more = _pairs(x.join(y, apart).select("x.id", "y.hub"))
         more = materialise(more.join(tested, ["a", "b"], "left_anti"), "pairs")
         links = materialise(links.union(confirm(more)), "links")
         tested = tested.union(more)
+        groups = connected_components(links)
         if last:
-            return connected_components(links), links
-    raise AssertionError("unreachable")
+            break
+    return groups, links
 
 
 def _pairs(joined: DataFrame) -> DataFrame:

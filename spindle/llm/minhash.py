@@ -28,7 +28,7 @@ from .common import bounded, ids_and_texts, materialise, small_batches, text_byt
 from .components import linked_groups
 
 WORDS, PERCENT = 5, 75
-BANDS, ROWS, MANTISSA, SIGMAS = 32, 4, 10, 5.0
+BANDS, ROWS, MANTISSA, SIGMAS = 32, 4, 10, 4.0
 BUCKETS = BANDS * ROWS
 _SHIFT = 64 - int(np.log2(BUCKETS))
 
@@ -135,6 +135,17 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(_fingerprint(sets, edge, 0)), pa.ListArray.from_arrays(edge, pa.array(sets.view(np.int64)))], names=["id", "shingles"])
 
 
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Filled registers as numbers that are equal where bucket and value are."""
+    for batch in batches:
+        if len(batch):
+            regs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, BUCKETS)
+            row, bucket = np.nonzero(regs)
+            edge = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(regs)))]).astype(np.int32)
+            cells = pa.array(bucket.astype(np.int32) << 16 | regs[row, bucket].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(edge, cells)], names=["id", "n", "cells"])
+
+
 def _likely(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,7 +188,20 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         both = likely.join(side(sets, "a"), "a").join(side(sets, "b"), "b")
         return both.withColumn("same", same).where(100 * F.col("same") >= percent * union).select("a", "b").distinct()
 
-    groups, links = linked_groups(members, confirm)
+    def bound(ids: DataFrame) -> DataFrame:
+        """n: a set's size; s: how many of its shingles another of these sets has too."""
+        each = sets.join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", F.explode("shingles").alias("shingle"))
+        shared = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+        counted = each.join(shared, "shingle").groupBy("id").agg(F.count(F.lit(1)).alias("s"))
+        own = reps.select("id", F.col("n_shingles").alias("n"), "regs").join(ids, "id", "left_semi")
+        return own.mapInArrow(_cells, "id long, n long, cells array<int>").join(counted, "id", "left").fillna(0, ["s"])
+
+    # an intersection is within what both sets share with others, so its size is at most the lesser s, and the union's at least the rest
+    possible = f"(100 + {percent}) * least(x.s, y.s) >= {percent} * (x.n + y.n) and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+    # and the estimate's margin, on registers as (bucket, value): the number that agree can't be far below the limit's share
+    used = "greatest(size(x.cells), size(y.cells))"
+    possible += f" and size(array_intersect(x.cells, y.cells)) >= {percent / 100} * {used} - {SIGMAS * np.sqrt(percent / 100 * (1 - percent / 100))} * sqrt({used})"
+    groups, links = linked_groups(members, confirm, bound, possible)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     classes = classes.withColumn("id", F.col("f1")).join(groups, "id", "left").join(degree, "id", "left")
     smallest = classes.where("component is not null").groupBy("component").agg(F.min("rep").alias("smallest"))
