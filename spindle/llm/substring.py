@@ -29,7 +29,9 @@ from . import hashing
 from .common import ids_and_texts, shuffle_width, text_bytes
 
 WINDOW, ANCHOR = 35, 16
-BLOCKS_A_PARTITION = 2
+#: Bytes of text a block and a bucket of the index are meant for. Their numbers follow the corpus, not the cluster's width, so that
+#: the packed rows between them (one for each block and bucket that meet) stay few and large.
+BLOCK_BYTES, BUCKET_BYTES = 2 << 20, 4 << 20
 _PACKED = "bucket long, block long, hashes binary"
 _BACK = "block long, hashes binary"
 
@@ -153,7 +155,8 @@ def removed_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row of ``docs``."""
     spark = docs.sparkSession
     width = shuffle_width(spark)
-    blocks = buckets = width * BLOCKS_A_PARTITION
+    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    blocks, buckets = total // BLOCK_BYTES + 1, total // BUCKET_BYTES + 1
 
     def anchors(key: tuple, table: pa.Table) -> pa.Table:
         return _packed(_Parsed(table["text"].combine_chunks(), window).anchors, key[0].as_py(), buckets)
