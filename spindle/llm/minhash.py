@@ -3,7 +3,7 @@
 Each document's distinct five-word shingles fall into ``BUCKETS`` buckets; a bucket keeps its least
 hash, compressed to a leading-zero count and ``MANTISSA`` mantissa bits. Bands of registers make
 candidates; the collision-corrected estimate drops the unlikely ones (by a margin of ``SIGMAS``
-standard errors, so that no true pair goes); the rest is confirmed on the full shingle sets.
+standard errors: of pairs at the limit some 3e-7 go); the rest is confirmed on the full shingle sets.
 
 At 32 bands of 4 registers a pair at the limit of 0.75 is missed with probability 5e-6, and
 with less the more alike or the smaller its sets are. Documents of equal sets form one class first, so
@@ -28,7 +28,7 @@ from .common import bounded, ids_and_texts, materialise, small_batches, text_byt
 from .components import linked_groups
 
 WORDS, PERCENT = 5, 75
-BANDS, ROWS, MANTISSA, SIGMAS = 32, 4, 10, 4.0
+BANDS, ROWS, MANTISSA, SIGMAS = 32, 4, 10, 5.0
 BUCKETS = BANDS * ROWS
 _SHIFT = 64 - int(np.log2(BUCKETS))
 
