@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicon
-from .common import ids_and_texts, materialise, shuffle_width, small_batches
+from .common import bounded, ids_and_texts, materialise, shuffle_width, small_batches
 from .memo import Memo
 
 CAPACITY, END, WORDS = 2048, 0, 300_000
@@ -52,7 +52,7 @@ def _ids(path: str) -> Ids:
 def _cutter(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, end, step = _ids(path), np.array([END], "<u4").tobytes(), 4 * capacity
-        for batch in batches:
+        for batch in bounded(batches, 1):
             doc, piece, start, length, crc = [], [], [], [], []
             for d, raw in zip(batch.column(0).to_pylist(), ids.encode([t or "" for t in batch.column(1).to_pylist()])):
                 raw += end
@@ -145,6 +145,8 @@ def _placer(ranks: dict[tuple[int, int], int], plan: list[tuple[int, int, int, i
 def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``items`` of pieces() with sequence_id and offset."""
     spark = items.sparkSession
+    # range partitioning reads its input twice (a sample first): written, the texts are encoded once
+    items = materialise(items, "items")
     ordered = items.repartitionByRange(shuffle_width(spark), "length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece")
     ordered = materialise(ordered.withColumn("at", F.monotonically_increasing_id()), "pieces")
     # a row for each partition and length in it: range partitions share few lengths, so partitions + capacity rows at most
