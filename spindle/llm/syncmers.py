@@ -6,8 +6,8 @@ place: a choice that depends on the run alone, so equal passages have equal anch
 The fingerprint is the ``SIZE`` least distinct anchor hashes of the whole text; likeness is the share
 of the two fingerprints' common bottom values that both have (an estimate of the anchors' Jaccard similarity).
 
-Only DataFrame expressions. To meet the next document, rows are range-sorted by id alone; each text then moves once, and
-its prefix and fingerprint go to the one document that asks for them.
+Only DataFrame expressions. To meet the next document, rows are range-sorted by id alone; each text then moves once, by an
+exchange that both joins read, and its prefix and fingerprint go to the one document that asks for them.
 
 Null texts are empty; an empty text has the empty fingerprint, and two empty ones are alike (1.0). Texts too short for an anchor
 have one that covers all of them. Documents go by descending doc_id, null ids last, and by a hash of the text where an
@@ -82,19 +82,20 @@ def _successors(rows: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row of ``docs``."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_doc_id of every row of ``docs``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     own = own.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k"))
     links = materialise(_successors(own.withColumn("n_chars", F.length("text"))), "successors")
     repeated = own.select("k").count() != links.count()
-    full = _with_sketch(own, "text", "sketch").select("k", "doc_id", "text", "sketch")
-    asked = full.select(F.col("k").alias("next_k"), F.col("text").alias("next_text"), F.col("sketch").alias("next_sketch")).join(links, "next_k")
-    asked = asked.select("k", F.left("next_text", "half").alias("prefix"), "next_sketch")
+    # dealt by k once: the plan below reads this exchange twice, so it has the same columns on both sides
+    full = _with_sketch(own, "text", "sketch").select("k", "doc_id", "text", "sketch").repartition(shuffle_width(docs.sparkSession), "k")
+    asked = full.select(F.col("k").alias("next_k"), F.col("doc_id").alias("next_doc_id"), F.col("text").alias("next_text"), F.col("sketch").alias("next_sketch")).join(links, "next_k")
+    asked = asked.select("k", "next_doc_id", F.left("next_text", "half").alias("prefix"), "next_sketch")
     if repeated:
         asked = asked.dropDuplicates(["k"])
     rows = full.join(asked, "k").withColumn("n_chars", F.length("text").cast("long"))
     kept = F.left("text", (F.col("n_chars") - F.floor(F.col("n_chars") / 2)).cast("int"))
-    rows = rows.select("doc_id", "n_chars", "sketch", "next_sketch", F.concat(kept, "prefix").alias("edited"))
+    rows = rows.select("doc_id", "next_doc_id", "n_chars", "sketch", "next_sketch", F.concat(kept, "prefix").alias("edited"))
     rows = _with_sketch(rows, "edited", "edited_sketch")
-    return rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint("sketch").alias("fingerprint"), fingerprint("edited_sketch").alias("edited_fingerprint"), likeness("sketch", "edited_sketch").alias("near_edited"), likeness("sketch", "next_sketch").alias("near_next"))
+    return rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint("sketch").alias("fingerprint"), fingerprint("edited_sketch").alias("edited_fingerprint"), likeness("sketch", "edited_sketch").alias("near_edited"), likeness("sketch", "next_sketch").alias("near_next"), "next_doc_id")
