@@ -416,6 +416,42 @@ def test_op8_simhash(spark):
         assert r["s"] % (1 << 64) == want
 
 
+def _edited(r, line, n):
+    """``line`` with n edits of single characters."""
+    out = list(line)
+    for i in sorted(r.sample(range(len(out)), n), reverse=True):
+        kind, letter = r.randrange(3), r.choice("bcdfghjklm")
+        out[i : i + 1] = [[letter], [out[i], letter], []][kind]
+    return "".join(out)
+
+
+def test_op8_recall(spark):
+    """Of all pairs of lines within edit similarity 0.9, by brute force: none of under 60 characters is missed, and hardly any other."""
+    r = random.Random(17)
+    words = ["".join(r.choice("aeioubcdfghlmnprst") for _ in range(r.randrange(2, 9))) for _ in range(3000)]
+    own = []
+    for n, size in ((60, 3), (60, 5), (60, 9), (30, 20), (25, 40)):
+        for _ in range(n):
+            line = " ".join(r.choice(words) for _ in range(size))
+            own += [line, _edited(r, line, r.randint(1, max(1, len(line) // 10)))]
+    order = list(dict.fromkeys(_norm(x) for x in own))
+    wanted = {False: 0, True: 0}
+    missed = {False: 0, True: 0}
+    frame = spark.createDataFrame([(i, line) for i, line in enumerate(order)], "doc_id long, text string")
+    gone = {x["doc_id"] for x in lines.line_report(frame).collect() if x["n_removed"]}
+    for i, a in enumerate(order):
+        near = [b for b in order[:i] if abs(len(a) - len(b)) <= max(len(a), len(b)) // 10 and len(set(a.split(" ")) & set(b.split(" "))) and 10 * _distance(a, b) <= max(len(a), len(b))]
+        if near and min(len(a.split(" ")), max(len(b.split(" ")) for b in near)) >= lines.LEAST:
+            long = len(a) >= 60
+            wanted[long] += 1
+            missed[long] += i not in gone
+        elif not near:
+            assert i not in gone
+    assert wanted[False] > 100 and wanted[True] > 50
+    assert missed[False] == 0 and missed[True] <= 0.02 * wanted[True], (wanted, missed)
+
+
+
 def test_op9_scores(docs, spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     out = classifier.quality_scores(docs, labels).collect()
