@@ -407,6 +407,19 @@ def test_op8_fuzzy(spark):
     assert kept[1].startswith(line) and kept[3] is None and 4 not in kept and kept[2].endswith("another matter of mine")
 
 
+def test_op8_long_lines(spark):
+    """A long line goes at the same similarity as a short one, however many edits that is."""
+    r = random.Random(23)
+    line = " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(1000))
+    near, far, other = list(line), list(line), "".join(r.sample(line, len(line)))
+    for out, n in ((near, 600), (far, 1200)):
+        for i in r.sample(range(len(out)), n):
+            out[i] = "z"
+    frame = spark.createDataFrame([(1, line), (2, "".join(near)), (3, other), (4, "".join(far))], "doc_id long, text string")
+    out = {x["doc_id"]: x["n_removed"] for x in lines.line_report(frame).collect()}
+    assert out == {1: 0, 2: 1, 3: 0, 4: 0}
+
+
 def test_op8_simhash(spark):
     words = [[f"w{i * j}" for i in range(n)] for j, n in ((1, 3), (3, 100), (7, 300), (5, 40000))]
     frame = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, words array<string>")
