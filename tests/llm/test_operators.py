@@ -420,6 +420,13 @@ def test_op8_long_lines(spark):
     assert out == {1: 0, 2: 1, 3: 0, 4: 0}
 
 
+def test_op8_unspaced(spark):
+    """Sentences of scripts without spaces are lines of many words; short ones stay."""
+    own = ["これは繰り返される文章であり何度も現れます。", "這是一個重複出現的句子", "นี่คือประโยคที่ซ้ำกันหลายครั้ง", "日本語", "two words"]
+    frame = spark.createDataFrame([(i, "\n".join(own)) for i in (1, 2)], "doc_id long, text string")
+    assert {x["doc_id"]: x["removed"] for x in lines.line_report(frame).collect()} == {1: "", 2: "0,1,2"}
+
+
 def test_op8_simhash(spark):
     words = [[f"w{i * j}" for i in range(n)] for j, n in ((1, 3), (3, 100), (7, 300), (5, 40000))]
     frame = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, words array<string>")
