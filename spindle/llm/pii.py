@@ -44,15 +44,23 @@ _SCHEME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0
 @lru_cache(maxsize=1)
 def anchors() -> ahocorasick.Automaton:
     machine = ahocorasick.Automaton()
-    cues = {"@": _AT, "+": _PLUS, "://": _SCHEME, "AKIA": _KEY} | dict.fromkeys("0123456789", _DIGIT)
+    cues = {"@": _AT, "+": _PLUS, "://": _SCHEME, "akia": _KEY} | dict.fromkeys("0123456789", _DIGIT)
     for word, kind in (("account", _ACCOUNT), ("acct", _ACCOUNT), ("passport", _ACCOUNT), ("ssn", _ACCOUNT), ("password", _SECRET), ("token", _SECRET), ("secret", _SECRET), ("api_key", _SECRET), ("apikey", _SECRET)):
-        cues |= {w: kind for w in (word, word.upper(), word.title())}
+        cues[word] = kind
     for word, kind in cues.items():
         machine.add_word(word, kind)
     machine.make_automaton()
     return machine
 
 
+_SMALL = {c: c + 32 for c in range(65, 91)}
+
+
+def _lowered(text: str) -> str:
+    """``text`` with A-Z in lower case, every character where it was."""
+    return text.lower() if text.isascii() else text.translate(_SMALL)
+
+
 def _luhn(digits: list[int]) -> bool:
     back = digits[::-1]
     return (sum(back[::2]) + sum(x * 2 - 9 * (x > 4) for x in back[1::2])) % 10 == 0
@@ -72,7 +80,7 @@ def spans(text: str) -> list[tuple[int, int, str]]:
         found.append((start, end, kind))
         past[kind] = end
 
-    for last, kind in anchors().iter(text):
+    for last, kind in anchors().iter(_lowered(text)):
         if kind == _DIGIT:
             if last >= past["ip"]:
                 if m := _IP.match(text, last):
@@ -105,7 +113,7 @@ def spans(text: str) -> list[tuple[int, int, str]]:
                         add("phone", last, last + len(run))
         elif kind == _SCHEME:
             start = at = last - 2
-            while start > past["url"] and at - start < 20 and text[start - 1] in _SCHEME_CHARS:
+            while start > past["url"] and text[start - 1] in _SCHEME_CHARS:
                 start -= 1
             while start < at and not text[start].isalpha():
                 start += 1
