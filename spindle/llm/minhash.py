@@ -163,7 +163,8 @@ def _likely(percent: int):
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of ``docs``; n_links: confirmed links of its class."""
+    """doc_id, n_shingles, component_id, kept of every row of ``docs``; n_links: links of its class that were tested and
+    confirmed; pairs inside a group that is already joined are not tested, so it is not the number of all links."""
     all_ = materialise(sketches(docs), "sketches")
     full = all_.where("n_shingles > 0 and doc_id is not null")
     key = ["n_shingles", "f1", "f2"]
