@@ -53,12 +53,9 @@ def anchors() -> ahocorasick.Automaton:
     return machine
 
 
-_SMALL = {c: c + 32 for c in range(65, 91)}
-
-
 def _lowered(text: str) -> str:
     """``text`` with A-Z in lower case, every character where it was."""
-    return text.lower() if text.isascii() else text.translate(_SMALL)
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def _luhn(digits: list[int]) -> bool:
