@@ -1,22 +1,25 @@
 """Vectorised 64-bit hashing of words and of runs of words over whole Arrow batches.
 
-A word's hash is a polynomial over its bytes modulo 2**64, got from one running sum
-per stretch of text, then mixed; so no Python object is made per word, and memory is
-bounded by the stretch, however long a text is.
+A word is read eight bytes at a time; each piece goes through a mixing step that depends on all pieces before it, so a
+word's hash is a chain, as of any block hash, and not a sum or a polynomial whose terms could cancel. Runs of words are
+hashed as trees: halves of 1, 2, 4, ... words, mixed at each level. No Python object is made per word.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _U = np.uint64
-_STRETCH = 1 << 20
+#: Words over so many bytes are hashed one at a time.
+_LONG = 512
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = _U(0x9E3779B97F4A7C15 | 1)
-_BASE2 = _U(0xD6E8FEB86659FD93)
+_ODD, _ODD2 = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,31 +32,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=_U) * _BASE)
-
-
-class _Powers:
-    """Powers of an odd base and of its inverse, grown on demand."""
-
-    def __init__(self, base: np.uint64):
-        self.base, self.inverse = base, _U(pow(int(base), -1, 1 << 64))
-        self.up = self.down = np.ones(1, _U)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
-            out = []
-            for base in (self.base, self.inverse):
-                x = np.full(size, base, _U)
-                x[0] = 1
-                out.append(np.cumprod(x))
-            self.up, self.down = out
-        return self.up[:n], self.down[:n]
-
-
-_bytes, _words = _Powers(_BASE), _Powers(_BASE2)
-
-
 def find_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of every word. ``offsets`` are the n+1 byte offsets of the rows in ``data``."""
     lo, hi = int(offsets[0]), int(offsets[-1])
@@ -74,17 +52,32 @@ def find_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
     """A 64-bit hash of each word, of its bytes with A-Z in lower case if ``lower``."""
     out = np.empty(len(starts), _U)
-    at = 0
-    while at < len(starts):
-        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + _STRETCH, "right")))
-        lo, hi = int(starts[at]), int(ends[stop - 1])
-        up, down = _bytes.get(hi - lo + 1)
-        part = data[lo:hi]
-        total = np.zeros(hi - lo + 1, _U)
-        np.cumsum(_BYTE[_LOWER[part] if lower else part] * up[:-1], out=total[1:])
-        s, e = starts[at:stop] - lo, ends[at:stop] - lo
-        out[at:stop] = mix((total[e] - total[s]) * down[s] + (e - s).astype(_U))
-        at = stop
+    if not len(starts):
+        return out
+    lo, hi = int(starts[0]), int(ends[-1])
+    padded = np.zeros(hi - lo + 8, np.uint8)
+    padded[: hi - lo] = _LOWER[data[lo:hi]] if lower else data[lo:hi]
+    eight = np.ndarray((hi - lo + 1,), "<u8", padded, strides=(1,))
+    at, left = starts - lo, ends - starts
+    state = mix(left.astype(_U) * _ODD + _ODD2)
+    pick = None  # of the words that go on; all at first
+    while len(at):
+        piece = eight[at] & _MASK[np.minimum(left, 8)]
+        state = mix((state ^ piece) * _ODD + _ODD2)
+        on = left > 8
+        done = ~on
+        if pick is None:
+            out[done], pick = state[done], np.flatnonzero(on)
+        else:
+            out[pick[done]], pick = state[done], pick[on]
+        at, left, state = at[on] + 8, left[on] - 8, state[on]
+        if len(at) and int(left.max()) > _LONG:
+            long = np.flatnonzero(left > _LONG)
+            for i in pick[long]:
+                raw = padded[starts[i] - lo : ends[i] - lo].tobytes()
+                out[i] = _U(int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little"))
+            rest = left <= _LONG
+            at, left, state, pick = at[rest], left[rest], state[rest], pick[rest]
     return out
 
 
@@ -93,10 +86,16 @@ def hash_runs(words: np.ndarray, k: int) -> np.ndarray:
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, _U)
-    up, down = _words.get(len(words) + 1)
-    total = np.zeros(len(words) + 1, _U)
-    np.cumsum(words * up[:-1], out=total[1:])
-    return mix((total[k:] - total[:n]) * down[:n])
+    level, span, out, have = words, 1, None, 0
+    while True:
+        if k & span:  # this level's trees are a part of the run, after the smaller parts
+            part = level[have : have + n]
+            out = mix(part + _ODD) if out is None else mix(out * _ODD ^ (part + _ODD2))
+            have += span
+        if have == k:
+            return out
+        level = mix(level[: len(level) - span] * _ODD ^ (level[span:] + _ODD2))
+        span *= 2
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
