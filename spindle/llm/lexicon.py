@@ -6,18 +6,18 @@ Such a tokenizer drops white space, so a text's ids are those of its white-space
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
 
 import regex
+from tokenizers import Tokenizer
 
 from . import bpe
 from .memo import Memo
+from .transducer import WHITE, Forms
 
 PIECES = 150_000
-#: Unicode's White_Space; str.split() also cuts at the four separators below.
-WHITE = "\t-\r \x85\xa0  -     　"
+#: str.split() also cuts at these four; Unicode's White_Space doesn't have them.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _GAP = re.compile(f"[{WHITE}]+")
 _PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
@@ -38,23 +38,27 @@ class Lexicon:
         self.merges = bpe.load(path)
         self.special = self.merges.special
         self.cut_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self.counts, self.packs = Memo(PIECES), Memo(PIECES)
+        self.packs, self.forms = Memo(PIECES), Forms(Tokenizer.from_file(path))
 
-    def pieces(self, word: str) -> list[str | int]:
-        """The strings that are merged on their own; a special token's string is its id."""
+    def pieces(self, word: str) -> str | list[str | int]:
+        """The strings that are merged on their own (one alone as it is); a special token's string is its id."""
         if "<|" in word and self.cut_special.search(word):
             out: list = []
             for part in self.cut_special.split(word):
-                out += [self.special[part]] if part in self.special else self.pieces(part) if part else []
+                if part in self.special:
+                    out.append(self.special[part])
+                elif part:
+                    own = self.pieces(part)
+                    out += [own] if type(own) is str else own
             return out
         if not word.isascii():
-            word = unicodedata.normalize("NFC", word).replace("Σ", "σ")
-        word = word.lower()
-        return [word] if word.isalpha() else _PIECE.findall(word)
-
-    def count(self, words: list[str]) -> list[int]:
-        """The number of ids of each word."""
-        return self._each(words, self.counts, self.merges.count, sum)
+            if not self.forms.agreed(word):
+                word = self.forms.normalised(word)
+                return [word[a:b] for _, (a, b) in self.forms.library.pre_tokenizer.pre_tokenize_str(word)]
+            word = self.forms.normalised(word)
+        else:
+            word = word.lower()
+        return word if word.isalpha() else _PIECE.findall(word)
 
     def pack(self, words: list[str]) -> list[bytes]:
         """The ids of each word as little-endian 32-bit numbers."""
@@ -62,14 +66,16 @@ class Lexicon:
 
     def _each(self, words: list[str], memo: Memo, merge: Callable, join: Callable) -> list:
         cut = list(map(self.pieces, words))
-        value = memo.fill({p for c in cut for p in c}, lambda new: self._merged(new, merge))
-        return [value(c[0]) if len(c) == 1 else join(map(value, c)) for c in cut]
+        wanted = {c for c in cut if type(c) is str}
+        wanted.update(p for c in cut if type(c) is not str for p in c)
+        value = memo.fill(wanted, lambda new: self._merged(new, merge))
+        return [value(c) if type(c) is str else join([value(p) for p in c]) for c in cut]
 
     def _merged(self, pieces: list[str | int], merge: Callable) -> list:
         values = merge([p.encode() if type(p) is str else b"" for p in pieces])
         for k, p in enumerate(pieces):
             if type(p) is int:
-                values[k] = 1 if merge == self.merges.count else p.to_bytes(4, "little")
+                values[k] = p.to_bytes(4, "little")
         return values
 
 

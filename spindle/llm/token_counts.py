@@ -1,75 +1,69 @@
-"""Token counts of whole texts by a compiled finite-state transducer.
+"""Token counts of whole texts by a compiled finite-state transducer (transducer.py).
 
-The tokenizer is compiled to a deterministic transducer whose transitions carry the number of tokens they emit. Since it
-drops white space, every state goes back to the start at a gap; arcs are therefore compressed to whole words: reading
-a word and the gap after it goes from the start to the start and emits that word's count. Arcs are made
-as words turn up (lazy determinisation), a batch of new words at a time, and at most ``ARCS`` are held.
+Each text is normalised, and each chunk of ``CHUNK`` characters of it becomes a map from the state before it to the state after it
+and the tokens emitted. All states meet in the start state at the first white space, so a map is (text before it, to be read from
+whatever state comes in; tokens after it; state at the end). Maps compose associatively and are combined in a
+balanced prefix scan. What a word emits from gap to gap is kept as one arc from the start state to itself, ``ARCS`` at most.
 
-A stretch of text is a map from the state before it to the state after it and the tokens emitted. As all
-states meet at the first gap, the map is (text before the first gap, tokens between, text after the last gap).
-Maps compose associatively, so a long text is cut anywhere into chunks and its chunks' maps are
-combined in a balanced prefix scan.
-
-Null and empty texts count 0 tokens and 0 bytes. Every row comes back, repeated ones too.
+Null and empty texts count 0 tokens and 0 bytes. Every row comes back, repeated ones too. A batch's texts have about 4 MB at most,
+or are one longer text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import lexicon
-from .common import ids_and_texts, small_batches
+from .common import bounded, ids_and_texts, small_batches
 from .memo import Memo
+from .transducer import Reader, Transducer, compiled
 
 LIMIT, CHUNK, ARCS = 2048, 1 << 16, 300_000
 
 
 @dataclass(frozen=True, slots=True)
 class StateMap:
-    """What a stretch does. ``gap``: it holds white space; if not, ``head`` is all of it."""
+    """What a chunk does. ``state`` None: it holds no white space, and ``head`` is all of it."""
 
     head: str
     tokens: int = 0
-    tail: str = ""
-    gap: bool = False
-
+    state: Reader | None = None
 
-class Transducer:
-    def __init__(self, path: str):
-        self.lexicon = lexicon.load(path)
-        self.arcs = Memo(ARCS)
 
-    def learn(self, words: set[str]) -> Callable[[str], int]:
-        """Compile the arcs of words that have none; returns the look-up."""
-        return self.arcs.fill(words, self.lexicon.count)
+class Counter:
+    def __init__(self, machine: Transducer):
+        self.machine, self.arcs = machine, Memo(ARCS)
 
-    def emitted(self, words: list[str]) -> int:
-        try:
-            return sum(map(self.arcs.young.__getitem__, words))
-        except KeyError:
-            return sum(map(self.learn(set(words)), words))
+    def _emitted(self, words: list[str]) -> list[int]:
+        """The tokens of whole words, gap to gap."""
+        if self.machine.full():
+            self.machine.renew()
+        run, start = self.machine.run, self.machine.start
+        return [run(start, w)[1] for w in words]
 
     def read(self, chunk: str) -> StateMap:
         words = lexicon.split_words(chunk)
-        if len(words) == 1 and len(words[0]) == len(chunk):
+        if not chunk or (len(words) == 1 and len(words[0]) == len(chunk)):
             return StateMap(chunk)
-        if not chunk:
-            return StateMap("")
-        head = "" if lexicon.is_white(chunk[0]) or not words else words[0]
-        tail = "" if lexicon.is_white(chunk[-1]) or not words else words[-1]
-        return StateMap(head, self.emitted(words[bool(head) : len(words) - bool(tail)]), tail, True)
+        head = "" if not words or lexicon.is_white(chunk[0]) else words[0]
+        tail = "" if not words or lexicon.is_white(chunk[-1]) else words[-1]
+        own = words[bool(head) : len(words) - bool(tail)]
+        state, tokens = self.machine.run(self.machine.start, tail)
+        try:
+            tokens += sum(map(self.arcs.young.__getitem__, own))
+        except KeyError:
+            tokens += sum(map(self.arcs.fill(set(own), self._emitted), own))
+        return StateMap(head, tokens, state)
 
     def compose(self, x: StateMap, y: StateMap) -> StateMap:
-        if not x.gap:
-            return StateMap(x.head + y.head, y.tokens, y.tail, y.gap)
-        if not y.gap:
-            return StateMap(x.head, x.tokens, x.tail + y.head, True)
-        return StateMap(x.head, x.tokens + self.emitted([x.tail + y.head]) + y.tokens, y.tail, True)
+        if x.state is None:
+            return StateMap(x.head + y.head, y.tokens, y.state)
+        state, tokens = self.machine.run(x.state, y.head)
+        return StateMap(x.head, x.tokens + tokens + y.tokens, state if y.state is None else y.state)
 
     def scan(self, maps: list[StateMap]) -> StateMap:
         """The maps' product, by halves, as a parallel scan combines them."""
@@ -78,25 +72,25 @@ class Transducer:
         return maps[0] if maps else StateMap("")
 
     def count(self, text: str, chunk: int = CHUNK) -> int:
-        if len(text) <= chunk:
-            return self.emitted(lexicon.split_words(text))
-        whole = self.scan([self.read(text[i : i + chunk]) for i in range(0, len(text), chunk)])
-        return whole.tokens + self.emitted([whole.head]) + self.emitted([whole.tail])
+        total = 0
+        for part in self.machine.normalised(text):
+            if type(part) is int:
+                total += 1
+                continue
+            whole = self.scan([self.read(part[i : i + chunk]) for i in range(0, len(part), chunk)])
+            total += self.machine.run(self.machine.start, whole.head)[1] + whole.tokens
+        return total
 
 
-@lru_cache(maxsize=4)
-def compiled(path: str) -> Transducer:
-    """One transducer a worker process, kept from batch to batch."""
-    return Transducer(path)
+_counters: dict[str, Counter] = {}
 
 
-def _counter(path: str, limit: int):
+def _count(path: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = compiled(path)
-        for batch in batches:
+        counter = _counters.get(path) or _counters.setdefault(path, Counter(compiled(path)))
+        for batch in bounded(batches, 1):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            machine.learn({w for t in texts if len(t) <= CHUNK for w in lexicon.split_words(t)})
-            tokens = [machine.count(t) for t in texts]
+            tokens = [counter.count(t) for t in texts]
             size = [len(t) if t.isascii() else len(t.encode()) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
@@ -106,4 +100,4 @@ def _counter(path: str, limit: int):
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row of ``docs``; ``vocabulary``: a word_bpe tokenizer file."""
     small_batches(docs.sparkSession)
-    return ids_and_texts(docs).mapInArrow(_counter(vocabulary, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return ids_and_texts(docs).mapInArrow(_count(vocabulary, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spindle.llm import bpe_codec, classifier, components, lexicon, lines, minhash, packing, pii, quality_rules, substring, syncmers, token_counts
+from spindle.llm import bpe_codec, classifier, components, hashing, lexicon, lines, minhash, packing, pii, quality_rules, substring, syncmers, token_counts, transducer
 from spindle.llm.queries import vocabulary
 
 SF = "/root/testdata/sf0.001"
@@ -234,19 +234,60 @@ def test_op4_counts(docs):
     _same(token_counts.token_counts(docs, vocabulary("word_bpe_49k.json")), ["doc_id", "n_bytes", "n_tokens", "over_limit"], wanted)
 
 
+def _machine():
+    return token_counts.Counter(transducer.compiled(vocabulary("word_bpe_49k.json")))
+
+
 def test_op4_maps_compose():
-    machine = token_counts.compiled(vocabulary("word_bpe_49k.json"))
-    text = "It isn't a  test,\nof 123 Σσ words <|endoftext|>x-y " * 9
-    whole = machine.count(text)
+    """Maps of chunks of a normalised text, cut anywhere, compose to the whole, in any order of composition."""
+    counter = _machine()
+    machine = counter.machine
+    (text,) = machine.normalised("It isn't a  test,\nof 123 Σσ words <|endoftext x-y 'll'l'r's " * 9)
+    whole = counter.count(text)
+    assert whole == len(_library("word_bpe_49k.json").encode(text, add_special_tokens=False).ids)
     r = random.Random(6)
     for _ in range(40):
         cuts = sorted(r.randrange(len(text) + 1) for _ in range(r.randrange(1, 9)))
-        maps = [machine.read(text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)])]
+        maps = [counter.read(text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)])]
         left = maps[0]
         for m in maps[1:]:
-            left = machine.compose(left, m)
-        assert left == machine.scan(maps)
-        assert left.tokens + machine.emitted([left.head]) + machine.emitted([left.tail]) == whole
+            left = counter.compose(left, m)
+        assert left == counter.scan(maps)
+        assert machine.run(machine.start, left.head)[1] + left.tokens == whole
+
+
+def _code_points():
+    return [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+
+
+def test_op4_op6_every_code_point():
+    """Each code point inside a word: as many tokens, and the same ids, as from the library."""
+    library, counter, ids = _library("word_bpe_49k.json"), _machine(), packing.Ids(vocabulary("word_bpe_49k.json"))
+    points = [c for c in _code_points() if ord(c) < 0x33480 or ord(c) % 61 == 0 or 0xE0000 <= ord(c) < 0xE0200]
+    for k in range(0, len(points), 20000):
+        texts = [f"ab{c}Cd {c}" for c in points[k : k + 20000]]
+        want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert list(map(counter.count, texts)) == list(map(len, want))
+        assert [np.frombuffer(x, "<u4").tolist() for x in ids.encode(texts)] == want
+
+
+def test_op4_op6_random_texts():
+    library, counter, ids = _library("word_bpe_49k.json"), _machine(), packing.Ids(vocabulary("word_bpe_49k.json"))
+    r = random.Random(3)
+    parts = ["a", "b", "th", "er", "ing", " ", "  ", "'", "'s", "'re", "'r", "'l", "'ll", "'ve", "1", "23", "!", "--", "é", "ß", "日", "本", "Σ", "σ", "İ", "\u0301", "\n", "\x1c", "\x85", "🙂", "don't", "<|endoftext|>", "<|", "xx", "tion", "\u0558", "\ua7cb", "\u1c89"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(30))) for _ in range(6000)]
+    texts += ["".join(r.choice("aeioubcdfghlmnrst") for _ in range(r.randrange(1, 60))) for _ in range(3000)]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert list(map(counter.count, texts)) == list(map(len, want))
+    assert [counter.count(t, 3) for t in texts] == list(map(len, want))
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids.encode(texts)] == want
+
+
+def test_op4_states_are_renewed(monkeypatch):
+    monkeypatch.setattr(transducer, "STATES", 50)
+    counter, library = token_counts.Counter(transducer.Transducer(vocabulary("word_bpe_49k.json"))), _library("word_bpe_49k.json")
+    for text in ("some words of a longer text", "quite another text, with other words", "some words of a longer text"):
+        assert counter.count(text, 7) == len(library.encode(text, add_special_tokens=False).ids)
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
@@ -274,6 +315,37 @@ def test_bpe_merges(name):
     assert merges.count([w.encode() for w in words]) == list(map(len, got))
 
 
+def _thue_morse(a, b, n=1024):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_collide_in_polynomials(spark):
+    """Two words that every polynomial modulo 2**64 takes for one, alone and amid 40 equal words."""
+    words = _thue_morse("a", "b"), _thue_morse("b", "a")
+    amid = [" ".join([f"w{i}" for i in range(20)] + [w] + [f"v{i}" for i in range(20)]) for w in words]
+    frame = spark.createDataFrame(list(enumerate([*words, *amid])), "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substring.removed_repeats(frame).collect()} == {0: 0, 1: 0, 2: 0, 3: 0}
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame.where("doc_id < 2")).collect()}
+    assert found == {0: 0, 1: 1}
+
+
+def test_word_hashes():
+    """Equal words have equal hashes, others don't, at all lengths; so do runs of words."""
+    r = random.Random(1)
+    words = ["".join(r.choice("abcXYZé日") for _ in range(r.choice([1, 2, 7, 8, 9, 15, 16, 17, 40, 300, 600, 2000]))) for _ in range(3000)]
+    words += words[:500] + [w.lower() for w in words[:300]]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    starts, ends, _ = hashing.find_words(data, np.array([0, len(data)]))
+    for lower in (False, True):
+        own = [w.translate(str.maketrans("XYZ", "xyz")) if lower else w for w in words]
+        hashes = hashing.hash_words(data, starts, ends, lower)
+        assert len(set(zip(own, hashes.tolist()))) == len(set(own)) == len(set(hashes.tolist()))
+        for k in (1, 2, 5, 16, 35):
+            runs = hashing.hash_runs(hashes, k).tolist()
+            plain = [tuple(own[i : i + k]) for i in range(len(own) - k + 1)]
+            assert len(runs) == len(plain) and len(set(zip(plain, runs))) == len(set(plain)) == len(set(runs))
+
+
 def test_op5_removed(docs):
     rows = [(d, WORD.findall(t or "")) for d, t in _rows(docs)]
     n = substring.WINDOW
