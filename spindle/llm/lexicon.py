@@ -65,11 +65,22 @@ class Lexicon:
         return self._each(words, self.packs, self.merges.pack, b"".join)
 
     def _each(self, words: list[str], memo: Memo, merge: Callable, join: Callable) -> list:
-        cut = list(map(self.pieces, words))
-        wanted = {c for c in cut if type(c) is str}
-        wanted.update(p for c in cut if type(c) is not str for p in c)
+        cut, wanted = [], set()
+        for word in words:
+            # most words are letters, or letters and one mark; all others are cut by the rules
+            if word.isascii():
+                own = word.lower()
+                if not own.isalpha():
+                    own = (own[:-1], own[-1]) if own[-1] in ",." and own[:-1].isalpha() else self.pieces(word)
+            else:
+                own = self.pieces(word)
+            cut.append(own)
+            if type(own) is str:
+                wanted.add(own)
+            else:
+                wanted.update(own)
         value = memo.fill(wanted, lambda new: self._merged(new, merge))
-        return [value(c) if type(c) is str else join([value(p) for p in c]) for c in cut]
+        return [value(c) if type(c) is str else value(c[0]) + value(c[1]) if len(c) == 2 else join([value(p) for p in c]) for c in cut]
 
     def _merged(self, pieces: list[str | int], merge: Callable) -> list:
         values = merge([p.encode() if type(p) is str else b"" for p in pieces])

@@ -14,10 +14,11 @@ class Memo:
 
     def fill(self, keys: set, make: Callable[[list], Iterable[Any]]) -> Callable[[Any], Any]:
         """Have a value for each of ``keys``, made by ``make`` where none is known; returns the look-up."""
-        new = keys - self.young.keys()
+        young = self.young  # asked key by key: a difference of key views goes through all of the memory
+        new = {k for k in keys if k not in young}
         if len(self.young) + len(new) > self.limit:
             self.old, self.young, new = self.young, {}, keys
-        back = new & self.old.keys()
+        back = {k for k in new if k in self.old}
         self.young.update(zip(back, map(self.old.__getitem__, back)))
         rest = list(new - back)
         if rest:
