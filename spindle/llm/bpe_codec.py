@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from . import bpe
-from .common import bounded, ids_and_texts, small_batches
+from .common import bounded, ids_and_texts, ship, shipped
 from .lexicon import WHITE
 from .memo import Memo
 
@@ -122,9 +122,9 @@ def _valid(raw: bytes) -> bytes:
         return raw.decode("utf-8", "replace").encode()
 
 
-def _digests(path: str):
+def _digests(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = load(path)
+        codec = load(shipped(name))
         for part in bounded(batches, 1):
             coded = codec.encode_batch([t or "" for t in part.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays(
@@ -142,5 +142,4 @@ def _digests(path: str):
 
 def encode_and_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of ``docs``; ``vocabulary``: a byte-level BPE tokenizer file."""
-    small_batches(docs.sparkSession)
-    return ids_and_texts(docs).mapInArrow(_digests(vocabulary), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return ids_and_texts(docs).mapInArrow(_digests(ship(docs.sparkSession, vocabulary)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import bounded, ids_and_texts, small_batches, text_bytes
+from .common import bounded, ids_and_texts, text_bytes
 
 PASSAGE, HASHED, HIDDEN, SAMPLE, STEPS, CUT = 64, 256, 16, 3000, 250, 0.3
 _SETS = (range(65, 91), range(97, 123), range(48, 58), range(128, 256), (10,), b".", b",", b"!", b"|", b"#*$%&<>", b"\"'()+-/:;=?@[]^_`{}~")
@@ -169,7 +169,6 @@ def _scorer(model: Attention | None):
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs``."""
-    small_batches(docs.sparkSession)
     model = fit(docs, labels, sample)
     rows = ids_and_texts(docs).withColumn("held_out", held_out(F.col("doc_id")))
     return rows.mapInArrow(_scorer(model), "doc_id long, held_out boolean, score double, predicted int")

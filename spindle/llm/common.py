@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a maximal run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
+_local: dict[str, str] = {}
+_sent: set[tuple[str, str]] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one only where the setting is absent (tests)."""
+    """The folder in ``spark.checkpoint.dir``. Where it is unset, a local session (a test) gets a temporary one; a cluster has to set it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "/tmp/checkpoints/spindle"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        folder = _local.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spindle-"))
     return folder.rstrip("/")
 
 
@@ -35,17 +42,48 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._spindle_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what materialise() wrote for ``tables``; only for those that no frame still to be run reads."""
+    for table_ in tables:
+        path = getattr(table_, "_spindle_path", None)
+        if path:
+            spark = table_.sparkSession
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+            table_._spindle_path = None
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, changed where ``df`` has a column of that name (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
 
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound an Arrow batch by rows; long texts make batches of rows large."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def ship(spark: SparkSession, path: str) -> str:
+    """Send a file of the driver's to all executors; returns the name that ``shipped`` takes there."""
+    if (spark.sparkContext.applicationId, path) not in _sent:
+        spark.sparkContext.addFile(path)
+        _sent.add((spark.sparkContext.applicationId, path))
+    return os.path.basename(path)
+
+
+def shipped(name: str) -> str:
+    """Where a file that was sent is on this executor."""
+    return SparkFiles.get(name)
 
 
 def ids_and_texts(docs: DataFrame) -> DataFrame:

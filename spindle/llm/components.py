@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 #: Hub rounds go on while comparing the rest in full would take more than so many pairs a membership.
 REST_PAIRS_A_ROW, MOST_HUB_ROUNDS = 1.0, 2
@@ -44,9 +44,12 @@ def connected_components(links: DataFrame) -> DataFrame:
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = materialise(small.where("u <> v").distinct(), "edges")
+        edges, last = materialise(small.where("u <> v").distinct(), "edges"), edges
+        discard(last)
     out = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return out.union(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
+    out = out.union(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
+    out._spindle_path = edges._spindle_path
+    return out
 
 
 def linked_groups(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], bound: Callable[[DataFrame], DataFrame] | None = None, possible: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -59,35 +62,43 @@ def linked_groups(members: DataFrame, confirm: Callable[[DataFrame], DataFrame],
     spread = members.groupBy("key").agg(F.min("id").alias("h1"), F.max("id").alias("h2"), F.count(F.lit(1)).alias("n"))
     hubs = spread.select("key", F.explode(F.array("h1", "h2")).alias("hub"))
     tested = materialise(_pairs(members.join(hubs, "key")), "pairs")
-    links = materialise(confirm(tested), "links")
+    found = confirm(tested)
+    links = materialise(found, "links")
+    discard(found)
     # two hubs are compared with all others: that is every pair of a bucket of up to three
-    members = materialise(members.join(spread.where("n > 3").select("key"), "key", "left_semi"), "members")
+    members, whole = materialise(members.join(spread.where("n > 3").select("key"), "key", "left_semi"), "members"), members
+    discard(whole)
     rows = members.count()
     groups = connected_components(links)
     for round_ in range(MOST_HUB_ROUNDS + 1 if rows else 0):
         rest = materialise(_rest(members, groups), "rest")
-        if bound is None:
-            known = rest.select("id").distinct()
-        else:
-            known = materialise(bound(rest.select("id").distinct()), "bounds")
+        known = materialise(bound(rest.select("id").distinct()) if bound else rest.select("id").distinct(), "bounds")
         x = rest.select("key", "id", "component").join(known, "id").alias("x")
         y = rest.where("minor").select("key", F.col("id").alias("hub"), "component").join(known.withColumnRenamed("id", "hub"), "hub").alias("y")
         cost = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("minor").alias("k")).agg(F.sum(F.col("n") * F.col("k"))).first()[0]
         if not cost:
+            discard(rest, known)
             break
-        last = bound is not None or cost <= max(10_000, REST_PAIRS_A_ROW * rows) or round_ == MOST_HUB_ROUNDS
+        last = cost <= max(10_000, REST_PAIRS_A_ROW * rows) or round_ == MOST_HUB_ROUNDS
         if not last:
             order = F.xxhash64("hub", F.lit(round_))
-            y = y.groupBy("key").agg(F.min_by(F.struct("hub", "component"), order).alias("z")).select("key", "z.hub", "z.component").alias("y")
+            chosen = rest.where("minor").select("key", F.col("id").alias("hub")).groupBy("key").agg(F.min_by("hub", order).alias("hub"))
+            y = y.join(chosen, ["key", "hub"], "left_semi").alias("y")
         apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
         apart = apart & F.expr(possible) if possible else apart
-        more = _pairs(x.join(y, apart).select("x.id", "y.hub"))
-        more = materialise(more.join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = materialise(links.union(confirm(more)), "links")
-        tested = tested.union(more)
-        groups = connected_components(links)
+        more = materialise(_pairs(x.join(y, apart).select("x.id", "y.hub")).join(tested, ["a", "b"], "left_anti"), "pairs")
+        discard(rest, known)
+        links_, tested_ = links, tested
+        found = confirm(more)
+        links = materialise(links.union(found), "links")
+        discard(found, links_, groups)
         if last:
-            break
+            discard(more, tested, members)
+            return connected_components(links), links
+        tested = materialise(tested.union(more), "pairs")
+        discard(more, tested_)
+        groups = connected_components(links)
+    discard(members, tested)
     return groups, links
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import bounded, ids_and_texts, materialise, small_batches, text_bytes
+from .common import bounded, discard, ids_and_texts, materialise, text_bytes, unused
 from .components import linked_groups
 
 WORDS, PERCENT = 5, 75
@@ -118,7 +118,6 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, 128-bit fingerprint of the set (f1, f2), bands, packed registers."""
-    small_batches(docs.sparkSession)
     return ids_and_texts(docs).mapInArrow(_sketch, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, regs binary")
 
 
@@ -209,12 +208,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = classes.join(smallest, "component", "left").select(*key, F.coalesce("smallest", "rep").alias("class"), "n_links")
     found = all_.select("doc_id", *key).join(classes, key, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = materialise(out, "near")
+    discard(all_, reps, sets, groups, links)
+    return out
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is kept, or null: of each connected group the smallest id. Rows repeated under a kept id become one."""
-    verdict = materialise(near_duplicates(docs, percent).where("doc_id is not null and kept").select(F.col("doc_id").alias("_id")), "kept")
-    ids = verdict.distinct()
-    out = docs.where("doc_id is null").unionByName(docs.join(ids, F.col("doc_id").cast("long") == F.col("_id"), "left_semi"))
-    return out.dropDuplicates(["doc_id", "text"]) if ids.count() < verdict.count() else out
+    """The rows of ``docs`` whose doc_id is kept: of each connected group the smallest id. Rows of one kept id and one text
+    become one. Rows without doc_id all stay, repeated ones too."""
+    near = near_duplicates(docs, percent)
+    verdict = materialise(near.where("doc_id is not null and kept").select("doc_id"), "kept")
+    discard(near)
+    (name,) = unused(docs, "kept_id")
+    ids = verdict.select(F.col("doc_id").alias(name)).distinct()
+    out = docs.join(ids, F.col("doc_id").cast("long") == F.col(name), "left_semi")
+    if ids.count() < verdict.count():
+        out = out.dropDuplicates(["doc_id", "text"])
+    return out.unionByName(docs.where("doc_id is null"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicon
-from .common import bounded, ids_and_texts, materialise, shuffle_width, small_batches
+from .common import bounded, discard, ids_and_texts, materialise, ship, shipped, shuffle_width
 from .memo import Memo
 
 CAPACITY, END, WORDS = 2048, 0, 300_000
@@ -49,9 +49,9 @@ def _ids(path: str) -> Ids:
     return Ids(path)
 
 
-def _cutter(path: str, capacity: int):
+def _cutter(name: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end, step = _ids(path), np.array([END], "<u4").tobytes(), 4 * capacity
+        ids, end, step = _ids(shipped(name)), np.array([END], "<u4").tobytes(), 4 * capacity
         for batch in bounded(batches, 1):
             doc, piece, start, length, crc = [], [], [], [], []
             for d, raw in zip(batch.column(0).to_pylist(), ids.encode([t or "" for t in batch.column(1).to_pylist()])):
@@ -66,8 +66,7 @@ def _cutter(path: str, capacity: int):
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
-    small_batches(docs.sparkSession)
-    return ids_and_texts(docs).mapInArrow(_cutter(vocabulary, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return ids_and_texts(docs).mapInArrow(_cutter(ship(docs.sparkSession, vocabulary), capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def supersteps(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -149,6 +148,7 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     items = materialise(items, "items")
     ordered = items.repartitionByRange(shuffle_width(spark), "length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece")
     ordered = materialise(ordered.withColumn("at", F.monotonically_increasing_id()), "pieces")
+    discard(items)
     # a row for each partition and length in it: range partitions share few lengths, so partitions + capacity rows at most
     part = F.shiftright("at", 33).alias("part")
     rows = ordered.groupBy(part, "length").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).collect()

@@ -20,7 +20,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ids_and_texts, small_batches
+from .common import bounded, ids_and_texts
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "iban", "account", "key", "secret")
@@ -147,7 +147,7 @@ _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in bounded(batches, 1):
         counts: dict[str, list[int]] = {k: [] for k in BASE}
         digest, listed = [], []
         for text in batch.column(1).to_pylist():
@@ -163,22 +163,25 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every row of ``docs``."""
-    small_batches(docs.sparkSession)
     return ids_and_texts(docs).mapInArrow(_report, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
-def _redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        i = batch.schema.get_field_index("text")
-        texts = [t and redact(t) for t in batch.column(i).to_pylist()]
-        out = batch.set_column(i, batch.schema.field(i), pa.array(texts, batch.schema.field(i).type))
-        if (n := batch.schema.get_field_index("n_chars")) >= 0:
-            length = [None if t is None else len(t) for t in texts]
-            out = out.set_column(n, batch.schema.field(n), pa.array(length, batch.schema.field(n).type))
-        yield out
+def _redacted(i: int, n: int):
+    """Column i's texts redacted, and column n (if not -1) their lengths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, i):
+            texts = [t and redact(t) for t in batch.column(i).to_pylist()]
+            out = batch.set_column(i, batch.schema.field(i), pa.array(texts, batch.schema.field(i).type))
+            if n >= 0:
+                length = [None if t is None else len(t) for t in texts]
+                out = out.set_column(n, batch.schema.field(n), pa.array(length, batch.schema.field(n).type))
+            yield out
+
+    return run
 
 
 def without_personal_data(docs: DataFrame) -> DataFrame:
     """``docs`` with spans in ``text`` replaced and ``n_chars`` set anew; all other columns stay as they are."""
-    small_batches(docs.sparkSession)
-    return docs.mapInArrow(_redacted, docs.schema)
+    n = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
+    return docs.mapInArrow(_redacted(docs.columns.index("text"), n), docs.schema)

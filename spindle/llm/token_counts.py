@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import lexicon
-from .common import bounded, ids_and_texts, small_batches
+from .common import bounded, ids_and_texts, ship, shipped
 from .memo import Memo
 from .transducer import Reader, Transducer, compiled
 
@@ -85,8 +85,9 @@ class Counter:
 _counters: dict[str, Counter] = {}
 
 
-def _count(path: str, limit: int):
+def _count(name: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path = shipped(name)
         counter = _counters.get(path) or _counters.setdefault(path, Counter(compiled(path)))
         for batch in bounded(batches, 1):
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -99,5 +100,4 @@ def _count(path: str, limit: int):
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row of ``docs``; ``vocabulary``: a word_bpe tokenizer file."""
-    small_batches(docs.sparkSession)
-    return ids_and_texts(docs).mapInArrow(_count(vocabulary, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return ids_and_texts(docs).mapInArrow(_count(ship(docs.sparkSession, vocabulary), limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
