@@ -23,6 +23,8 @@ NON_PERSONAL = (
 SENSITIVE_PATTERN = "(^|_)(" + "|".join(SENSITIVE) + ")(_|$)"
 KEY_PATTERN, DEVICE_PATTERN = "(_id|_key|_sk|_fk)$", "^(device|account|card)"
 SAFE_PATTERN = "^(" + "|".join(NON_PERSONAL) + ")(_name|_mail|_address|_ip|_lat|_long)$"
+# Names whose assigned values are never shown.
+SECRET_ASSIGNED = r"(?i)(password|passwd|pwd|token|secret|api_key|private_key)=([^;&\s]+)"
 TEMPORAL_NAME = "date|time|timestamp|_at|_ts|day"
 SQL_KEYWORD = r"(?i)\b(select|insert|update|delete|merge|create|with)\b"
 SQL_SHAPE = r"(?i)\b(from|into|join|update|table)\s+[A-Za-z_{\"`\[]"
@@ -40,11 +42,17 @@ def is_temporal(name: Column, data_type: Column) -> Column:
 
 
 def redact_dsn(dsn: Column) -> Column:
-    """Credentials of a connection string, and its query, out of sight; a plain path as it is."""
-    url = F.regexp_replace(dsn, r"\?[^#]*", "")
-    url = F.regexp_replace(url, r"://([^:/@#]*):[^/@#]*@", "://$1:***@")
-    url = F.regexp_replace(url, r"(?i)(password|passwd|pwd|token|secret|api_key|private_key)=([^;&\s]+)", "$1=***")
-    return F.when(dsn.contains("://"), url).otherwise(F.coalesce(dsn, F.lit("")))
+    """A connection string without its secrets: the password up to the last at-sign of the authority, the query beside it, and what is
+    assigned to a secret's name anywhere. A plain path stays; null is empty."""
+    scheme = F.regexp_extract(dsn, r"^(.*?://)", 1)
+    rest = F.substring(dsn, F.length(scheme) + 1, F.length(dsn))
+    authority = F.regexp_extract(rest, r"^([^/?#]*)", 1)
+    user, host = F.regexp_extract(authority, r"^(.*)@", 1), F.substring_index(authority, "@", -1)
+    name, with_password = F.substring_index(user, ":", 1), F.contains(user, F.lit(":"))
+    shown = F.when(with_password, F.concat(F.when(name == "", "***").otherwise(name), F.lit(":***@"))).otherwise(F.concat(user, F.lit("@")))
+    tail = F.regexp_replace(F.substring(rest, F.length(authority) + 1, F.length(rest)), r"\?[^#]*", "")
+    url = F.when(F.contains(authority, F.lit("@")) & (user != ""), F.concat(scheme, shown, host, tail)).otherwise(dsn)
+    return F.when(dsn.contains("://"), F.regexp_replace(url, SECRET_ASSIGNED, "$1=***")).otherwise(F.coalesce(dsn, F.lit("")))
 
 
 def sanitize(text: Column, limit: int = 2000) -> Column:

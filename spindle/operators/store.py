@@ -82,11 +82,59 @@ def find(nodes: DataFrame, text: str) -> DataFrame:
     return nodes.where(F.contains(F.lower("id"), F.lit(q)) | F.contains(F.lower("name"), F.lit(q)) | F.coalesce(F.contains(F.lower("path"), F.lit(q)), F.lit(False)))
 
 
+def lookup(nodes: DataFrame, ids: list[str]) -> DataFrame:
+    """The nodes of these ids."""
+    return nodes.where(F.col("id").isin(ids))
+
+
+def of_type(nodes: DataFrame, kind: str) -> DataFrame:
+    return nodes.where(F.col("type") == kind)
+
+
+def incident(edges: DataFrame, id_: str) -> DataFrame:
+    """Edges out of a node, then those into it; a loop is in both."""
+    return edges.where(F.col("src") == id_).withColumn("side", F.lit("out")).union(edges.where(F.col("dst") == id_).withColumn("side", F.lit("in")))
+
+
+def matching(nodes: DataFrame, patterns: DataFrame) -> DataFrame:
+    """pattern, id of the ids that each pattern stands for: an id, or one with ``*``, ``?`` and ``[...]``, in its own case.
+
+    Patterns are those of one document; their ids are equi-joined, and only wildcards scan the nodes, all in one pass.
+    """
+    wild = F.col("pattern").rlike(r"[*?\[]")
+    exact = patterns.where(~wild).join(nodes.select(F.col("id").alias("pattern")), "pattern", "left_semi").select("pattern", F.col("pattern").alias("id"))
+    globs = [r[0] for r in patterns.where(wild).select("pattern").distinct().collect()]
+    if not globs:
+        return exact
+    hits = F.array(*[F.when(F.col("id").rlike(_regex(g)), F.lit(g)) for g in globs])
+    return exact.union(nodes.select(F.explode(F.array_compact(hits)).alias("pattern"), "id"))
+
+
+def _regex(glob: str) -> str:
+    """A wildcard as an anchored pattern."""
+    out, i = "", 0
+    while i < len(glob):
+        c, end = glob[i], glob.find("]", i + 2)
+        if c == "[" and end > 0:
+            body = glob[i + 1 : end].replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&")
+            out += "[" + ("^" + body[1:] if body[0] == "!" else "\\" + body if body[0] == "^" else body) + "]"
+            i = end + 1
+            continue
+        out += {"*": ".*", "?": "."}.get(c) or (c if c.isalnum() else "\\" + c)
+        i += 1
+    return f"(?s)^{out}$"
+
+
 def resolve(nodes: DataFrame, refs: DataFrame) -> DataFrame:
     """ref, id: exact id, else the one exact name, else path, else file path, else substring; null if none is unique."""
-    r = F.col("ref")
-    hit = (F.col("id") == r) | (F.col("name") == r) | F.coalesce(F.col("path") == r, F.lit(False)) | F.contains(F.lower("id"), F.lower(r)) | F.contains(F.lower("name"), F.lower(r)) | F.coalesce(F.contains(F.lower("path"), F.lower(r)), F.lit(False))
-    pairs = F.broadcast(refs).join(nodes, hit)  # the refs of one request
-    ranks = F.array_compact(F.array(F.when(F.col("id") == r, 0), F.when(F.col("name") == r, 1), F.when(F.col("path") == r, 2), F.when((F.col("path") == r) & (F.col("type") == "FILE"), 3), F.lit(4)))
-    each = pairs.select("ref", "id", F.explode(ranks).alias("rank")).groupBy("ref", "rank").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1")
+    names = [r[0] for r in refs.select("ref").distinct().collect()]  # the refs of one request: a literal in one scan of the nodes
+    if not names:
+        return refs.select("ref", F.lit(None).cast("string").alias("id"))
+    held = lambda column, r: F.coalesce(F.contains(F.lower(column), F.lower(r)), F.lit(False))
+    same = lambda column, r: F.coalesce(F.col(column) == r, F.lit(False))
+    inside = lambda r: held("id", r) | held("name", r) | held("path", r)
+    ranks = lambda r: F.array_compact(F.array(F.when(same("id", r), 0), F.when(same("name", r), 1), F.when(same("path", r), 2), F.when(same("path", r) & (F.col("type") == "FILE"), 3), F.when(inside(r), 4)))
+    asked = F.transform(F.array(*map(F.lit, names)), lambda r: F.struct(r.alias("ref"), ranks(r).alias("ranks")))
+    hits = nodes.select("id", F.inline(F.filter(asked, lambda x: F.size(x["ranks"]) > 0))).select("ref", "id", F.explode("ranks").alias("rank"))
+    each = hits.groupBy("ref", "rank").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1")
     return refs.join(each.groupBy("ref").agg(F.min_by("id", "rank").alias("id")), "ref", "left")
