@@ -182,7 +182,7 @@ def graph(files: DataFrame, language: str = "python") -> tuple[DataFrame, DataFr
     nodes = paths.select(F.concat(F.lit("file:"), "path").alias("id"), F.lit("FILE").alias("type"), F.col("path").alias("name"), "path", F.lit(None).cast("long").alias("first_line"), F.lit(None).cast("long").alias("last_line"))
     nodes = nodes.union(made.select("id", F.upper("kind"), "name", "path", "first_line", "last_line"))
     sql = sql_tables(rows.where("kind = 'string'").where(looks_like_sql(F.col("text"))), "text").withColumn("provenance", F.when(F.col("certain"), "extracted").otherwise("inferred"))
-    of = lambda c: sql.select(_owner().alias("src"), F.concat(F.lit("table:"), F.explode(c)).alias("dst"), "provenance")
+    of = lambda c: sql.select(_owner().alias("src"), F.explode(F.transform(c, lambda t: F.concat(F.lit("table:"), t))).alias("dst"), "provenance")
     targets = (python_imports if language == "python" else javascript_imports)(rows, paths)
     parts = [
         _edges(made, F.concat(F.lit("file:"), "path"), F.col("id"), "CONTAINS", None, sure), _edges(targets, F.concat(F.lit("file:"), "path"), F.concat(F.lit("file:"), "target"), "IMPORTS", None, sure),
