@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -58,6 +59,12 @@ def discard(*tables: DataFrame) -> None:
             table_._spindle_path = None
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: Spark removes the shuffle files of frames that are gone only then."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, changed where ``df`` has a column of that name (in any case)."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, let_go, materialise
 
 #: Hub rounds go on while comparing the rest in full would take more than so many pairs a membership.
 REST_PAIRS_A_ROW, MOST_HUB_ROUNDS = 1.0, 2
@@ -61,13 +61,14 @@ def linked_groups(members: DataFrame, confirm: Callable[[DataFrame], DataFrame],
     """
     spread = members.groupBy("key").agg(F.min("id").alias("h1"), F.max("id").alias("h2"), F.count(F.lit(1)).alias("n"))
     hubs = spread.select("key", F.explode(F.array("h1", "h2")).alias("hub"))
-    tested = materialise(_pairs(members.join(hubs, "key")), "pairs")
+    tested = materialise(_pairs(members.join(hubs, "key").where("id <> hub")), "pairs")
     found = confirm(tested)
     links = materialise(found, "links")
     discard(found)
     # two hubs are compared with all others: that is every pair of a bucket of up to three
     members, whole = materialise(members.join(spread.where("n > 3").select("key"), "key", "left_semi"), "members"), members
     discard(whole)
+    let_go(members.sparkSession)
     rows = members.count()
     groups = connected_components(links)
     for round_ in range(MOST_HUB_ROUNDS + 1 if rows else 0):
@@ -97,6 +98,7 @@ def linked_groups(members: DataFrame, confirm: Callable[[DataFrame], DataFrame],
             return connected_components(links), links
         tested = materialise(tested.union(more), "pairs")
         discard(more, tested_)
+        let_go(members.sparkSession)
         groups = connected_components(links)
     discard(members, tested)
     return groups, links

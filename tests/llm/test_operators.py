@@ -630,3 +630,120 @@ def test_pipeline(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == after.keys()
     assert sizes == sorted(sizes, reverse=True)
+
+
+def _xx(seed, *values):
+    """Spark's xxhash64 of strings and longs, a column after another."""
+    import xxhash
+
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else (v % (1 << 64)).to_bytes(8, "little")
+        seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def _plain_anchors(text):
+    tokens = [w[i : i + syncmers.PIECE] for w in WORD.findall(text) for i in range(0, len(w), syncmers.PIECE)]
+    h = [_xx(42, t) for t in tokens]
+    s = [_xx(42, a, b) for a, b in zip(h, h[1:])]
+    found = [(i, _xx(42, s[i], s[i + 2], h[i + 4])) for i in range(len(h) - 4) if min(s[i], s[i + 3]) <= min(s[i + 1], s[i + 2])]
+    if h and not found:
+        whole = 42
+        for x in h:
+            whole = _xx(42, whole, x)
+        found = [(0, whole)]
+    return found
+
+
+def _plain_sketch(text):
+    return [x >> 32 for x in sorted({x for _, x in _plain_anchors(text)})[: syncmers.SIZE]]
+
+
+def _plain_likeness(a, b):
+    a, b = set(a), set(b)
+    both = sorted(a | b)[: syncmers.SIZE]
+    return 1.0 if not both else len([x for x in both if x in a and x in b]) / len(both)
+
+
+def test_op3_by_brute_force(docs):
+    """Fingerprints, and both likenesses, from plain loops over the tokens."""
+    rows = _rows(docs)
+    once = [r for r in rows if sum(x[0] == r[0] for x in rows) == 1]
+    text = {d: t or "" for d, t in rows}
+    out = {r["doc_id"]: r for r in syncmers.fingerprints(docs).collect()}
+    for d, t in once:
+        r, own = out[d], t or ""
+        sketch = _plain_sketch(own)
+        assert r["fingerprint"] == "".join(f"{x % (1 << 32):08X}" for x in sketch)
+        if sum(x[0] == r["next_doc_id"] for x in rows) == 1:
+            following, half = text[r["next_doc_id"]], len(own) // 2
+            edited = _plain_sketch(own[: len(own) - half] + following[:half])
+            assert r["edited_fingerprint"] == "".join(f"{x % (1 << 32):08X}" for x in edited)
+            assert r["near_edited"] == pytest.approx(_plain_likeness(sketch, edited)) and r["near_next"] == pytest.approx(_plain_likeness(sketch, _plain_sketch(following)))
+
+
+def test_op9_score_by_brute_force():
+    """The attention-weighted score, passage by passage."""
+    import math
+
+    r = np.random.default_rng(5)
+    model = classifier.Attention(4)
+    model.mean, model.scale = r.normal(size=4).astype(np.float32), np.abs(r.normal(size=4)).astype(np.float32) + 0.5
+    x, owner = r.normal(size=(9, 4)).astype(np.float32), np.array([0, 0, 0, 1, 2, 2, 2, 2, 3])
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    for bag, got in enumerate(model.score(x, owner)):
+        hidden, weights = [], []
+        for row in x[owner == bag]:
+            row = [(v - m) / s for v, m, s in zip(row, model.mean, model.scale)]
+            h = [math.tanh(sum(v * p["W"][i][j] for i, v in enumerate(row)) + p["b"][j]) for j in range(classifier.HIDDEN)]
+            t = [math.tanh(sum(v * p["V"][i][j] for i, v in enumerate(h))) for j in range(classifier.HIDDEN)]
+            g = [sig(sum(v * p["U"][i][j] for i, v in enumerate(h))) for j in range(classifier.HIDDEN)]
+            hidden.append(h)
+            weights.append(math.exp(sum(a * b * w for a, b, w in zip(t, g, p["w"]))))
+        z = [sum(w * h[j] for w, h in zip(weights, hidden)) / sum(weights) for j in range(classifier.HIDDEN)]
+        assert got == pytest.approx(sig(sum(a * b for a, b in zip(z, p["c"])) + p["d"][0]), abs=1e-5)
+
+
+def test_stages_with_clashing_columns_and_null_ids(spark):
+    """Columns that have the operators' own names come through; rows without an id all stay, whatever other rows do."""
+    text = " ".join(f"word{i}" for i in range(40))
+    line = "a line of some words here\nanother line of some words"
+    names = "doc_id long, text string, _id long, kept_id string, k string, _k string, lines int, raw int, kept boolean, id long, key long, n_chars int"
+    row = lambda d, t: (d, t, 7, "x", "k", "_k", 1, 2, False, 3, 4, len(t or ""))
+    frame = spark.createDataFrame([row(None, text), row(None, text), row(1, text), row(1, text), row(2, text), row(3, None), row(4, line), row(5, line + "\nits own words are these ones")], names)
+    out = minhash.one_of_each(frame)
+    assert out.columns == frame.columns and sorted((r["doc_id"] or 0 for r in out.collect())) == [0, 0, 1, 3, 4, 5]
+    few = minhash.one_of_each(frame.where("doc_id is null or doc_id = 3"))
+    assert [r["doc_id"] for r in few.orderBy("doc_id").collect()] == [None, None, 3]
+    left = lines.without_repeated_lines(frame.where("doc_id > 3"))
+    assert left.columns == frame.columns and {(r["doc_id"], r["text"], r["k"], r["kept"], r["n_chars"]) for r in left.collect()} == {(4, line, "k", False, len(line)), (5, "its own words are these ones", "k", False, 28)}
+    redacted = pii.without_personal_data(spark.createDataFrame([row(None, "me@ex.com"), row(2, None)], names))
+    assert [(r["text"], r["n_chars"], r["_id"]) for r in redacted.orderBy("doc_id").collect()] == [("[EMAIL]", 7, 7), (None, None, 7)]
+    kept = quality_rules.accepted(frame.withColumn("lang", F.lit("en")), spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    assert kept.columns == [*frame.columns, "lang"] and {r["doc_id"] for r in kept.collect()} == {None, 1, 2}
+    assert packing.packed(frame, vocabulary("word_bpe_49k.json")).count() == frame.count()
+
+
+def test_very_long_and_many_long_texts(spark):
+    """Batches of long texts are cut; one long text is a batch of its own."""
+    long = "some words of a long text " * 40000
+    frame = spark.createDataFrame([(i, long) for i in range(6)] + [(9, "x" * 300000)], "doc_id long, text string")
+    counts = {r["doc_id"]: (r["n_tokens"], r["over_limit"]) for r in token_counts.token_counts(frame, vocabulary("word_bpe_49k.json")).collect()}
+    assert counts[0] == (240000, True) and counts[9][0] == len(_library("word_bpe_49k.json").encode("x" * 300000, add_special_tokens=False).ids)
+    assert pii.personal_data(frame).where("n_email = 0").count() == 7
+
+
+def test_settings_and_tables_are_left_as_they_were(spark, tmp_path):
+    """No setting of the session changes, and of the tables on the way only those that the result reads stay."""
+    from pathlib import Path
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    had = set(folder.iterdir())
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    minhash.near_duplicates(frame).count()
+    lines.line_report(frame).count()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    left = [p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p not in had]
+    assert len(left) <= 8 and not {"sketches", "pairs", "members", "rest"} & set(left), left
