@@ -212,10 +212,20 @@ _add(
 )
 _add("pii_columns", _on_graph(lambda s, n, e: n.where("type = 'COLUMN'").where(text.is_sensitive(F.col("name"))).select("id")), _WITH + f"SELECT id FROM nodes WHERE type = 'COLUMN' AND {_sensitive_sql('name')}")
 _add(
-    "pii_exposure", _on_graph(lambda s, n, e: analysis.exposure(n, e)),
+    "pii_exposure", _on_graph(lambda s, n, e: analysis.exposure(n, e).drop("owner")),
     _WITH + f"SELECT parent AS id, string_agg(name, ',' ORDER BY name) AS sensitive, (SELECT count(*) FROM reach r JOIN nodes m ON m.id = r.node WHERE r.root = c.parent AND m.type <> 'COLUMN') AS downstream, CAST(0 AS BIGINT) AS exposed FROM nodes c WHERE type = 'COLUMN' AND {_sensitive_sql('name')} GROUP BY parent",
 )
 
+_add(
+    "pii_totals", _on_graph(lambda s, n, e: analysis.exposure_totals(analysis.exposure(n, e))),
+    _WITH + f", c AS (SELECT parent, count(*) AS k FROM nodes WHERE type = 'COLUMN' AND {_sensitive_sql('name')} GROUP BY parent) SELECT count(*) AS assets, CAST(sum(k) AS BIGINT) AS columns, CAST(0 AS BIGINT) AS exposed_assets, count(*) AS unowned FROM c",
+)
+_add(
+    "search_facets", _on_graph(lambda s, n, e: analysis.search(n.withColumns({"terms": F.when(F.col("name").startswith("o"), F.array(F.lit("Nation rule"))), "domain": F.substring("name", 1, 1)}), "nation", 50, kind="table")),
+    _WITH + "SELECT id, CAST(s AS INTEGER) AS score FROM (SELECT n.id, CASE WHEN name = 'nation' THEN 100 WHEN starts_with(name, 'nation') THEN 80 WHEN contains(name, 'nation') THEN 60 WHEN n.id IN (SELECT parent FROM nodes WHERE type = 'COLUMN' AND contains(name, 'nation')) THEN 40 WHEN starts_with(name, 'o') THEN 28 ELSE 0 END AS s FROM nodes n WHERE type = 'TABLE') WHERE s > 0",
+)
+_add("relationships_column_pairs", _on_graph(lambda s, n, e: analysis.column_relationships(n, e, "order").drop("via")), _WITH + "SELECT 'table:' || c AS from_table, cc AS from_column, 'table:' || p AS to_table, pc AS to_column FROM fk WHERE contains(c || cc || p || pc, 'order')")
+
 # --- usage: the events table as a query log ------------------------------------------------------------------------------------
 _USAGE = "u AS (SELECT lower(event_type) AS object_name, count(*) AS queries, max(ts) AS last_query FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY GROUP BY ALL)"
 
