@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import discard, let_go, materialise
 
 #: Hub rounds go on while comparing the rest in full would take more than so many pairs a membership.
-REST_PAIRS_A_ROW, MOST_HUB_ROUNDS = 1.0, 2
+REST_PAIRS_A_ROW, MOST_HUB_ROUNDS = 1.0, 1
 
 
 def _state(edges: DataFrame) -> tuple:
