@@ -133,3 +133,13 @@ d.edges.forEach(([a,b])=>{{const p=at[a],q=at[b];add("path",{{d:`M${{p[0]+220}}
 d.nodes.forEach(o=>{{const p=at[o.id];add("rect",{{x:p[0],y:p[1],width:220,height:28,rx:4}});add("text",{{x:p[0]+8,y:p[1]+18}},o.name.slice(0,30)+" ("+o.type.toLowerCase()+")")}});
 </script>"""
     Path(path).write_text(page, encoding="utf-8")
+
+
+def model_markdown(roles: DataFrame, classes: DataFrame, links: DataFrame) -> str:
+    """The dimensional model as Markdown: facts, dimensions, the bus matrix and what to mend."""
+    from .operators import model
+
+    joined = lambda df: df.select(*[F.array_join(c, ", ").alias(c) if t.startswith("array") else c for c, t in df.dtypes])
+    facts = model.facts(roles, classes, links)
+    parts = {"Facts": joined(facts), "Additivity": model.additivity(facts), "Dimensions": joined(model.dimensions(roles, classes, links)), "Bus matrix": model.bus_matrix(links, facts), "To mend": model.issues(roles, classes, links)}
+    return "# Model\n\n" + "\n".join(f"## {title}\n\n{markdown_table(df.orderBy(*df.columns[:1]), 200)}" for title, df in parts.items())

@@ -294,3 +294,46 @@ def test_traversal_is_that_of_a_plain_walk(spark):
                     want[d] = min(depth, want.get(d, 99))
         got = traverse.blast_radius(nodes, edges, spark.createDataFrame([(x,) for x in roots], "root string")).groupBy("node").agg(F.min("depth").alias("depth"))
         assert {x["node"]: x["depth"] for x in got.collect()} == want
+
+
+AIRFLOW = '''
+with DAG("daily", schedule="@daily") as dag:
+    a = PythonOperator(task_id="a", python_callable=work)
+    b, c = None, None
+    b = SQLExecuteQueryOperator(task_id="b", sql=["insert into mart.x select * from raw.y where 1 = 1", f"select 1 from raw.z where d = {ds}"])
+    c = BigQueryOperator(task_id="c", destination_table="Out.T", source_table="In.T")
+    d = FileSensor(task_id="d")
+    a >> [b, c] >> d
+    d << b
+    e = EmptyOperator(task_id="e")
+    f = EmptyOperator(task_id="f")
+    f << e << d
+    chain(a, [b, c], e)
+'''
+
+
+def test_airflow(spark):
+    from spindle.sources import airflow
+
+    frame = spark.createDataFrame([("dags/x.py", AIRFLOW), ("dags/y.py", "@dag(schedule=None)\ndef other():\n    pass\n"), ("z.py", "x = 1"), ("bad.py", "def (")], "path string, text string")
+    nodes, edges = airflow.graph(frame)
+    waits = {(a[11:], b[11:]) for a, b, t in _rows(edges, "src", "dst", "type") if t == "DEPENDS_ON" and b.startswith("task:")}
+    assert waits == {("b", "a"), ("c", "a"), ("d", "b"), ("d", "c"), ("f", "e"), ("e", "d"), ("e", "b"), ("e", "c")}
+    got = set(_rows(edges))
+    assert {("task:daily/a", "func:dags/x.py::work", "DEPENDS_ON", "inferred", "python_callable"), ("task:daily/b", "table:mart.x", "WRITES_TO", "extracted", "sql-in-code"), ("task:daily/b", "table:raw.z", "DEPENDS_ON", "inferred", "sql-in-code"), ("task:daily/c", "table:out.t", "WRITES_TO", "extracted", "operator_arg"), ("task:daily/c", "table:in.t", "DEPENDS_ON", "extracted", "operator_arg"), ("dag:daily", "task:daily/d", "CONTAINS", "extracted", None)} <= got
+    assert {r[0] for r in _rows(nodes.where("type = 'DAG'"), "id")} == {"dag:daily", "dag:other"}
+
+
+def test_serverless(spark, tmp_path):
+    from spindle.sources import serverless
+
+    (tmp_path / "src" / "pkg").mkdir(parents=True)
+    (tmp_path / "src" / "pkg" / "__init__.py").write_text("")
+    sam = {"Resources": {"Orders": {"Type": "AWS::DynamoDB::Table", "Properties": {"TableName": "orders-prod"}}, "Files": {"Type": "AWS::S3::Bucket"}, "Fn": {"Type": "AWS::Serverless::Function", "Properties": {"Handler": "pkg.main", "CodeUri": "src", "Events": {"E": {"Type": "Api", "Properties": {"Method": "get", "Path": "/x"}}, "Q": {"Type": "SQS", "Properties": {"Queue": {"Fn::GetAtt": ["Jobs", "Arn"]}}}}, "Environment": {"Variables": {"ORDER_TABLE": {"Ref": "Orders"}, "OUT_BUCKET": "${self:custom.out}"}}, "Policies": [{"DynamoDBCrudPolicy": {"TableName": {"Fn::Sub": "${Orders}"}}}, "Managed"]}}}}
+    nodes, edges = serverless.template_graph(spark, sam, "t.json", str(tmp_path))
+    assert set(_rows(edges, "src", "dst", "type", "via")) == {("file:t.json", "lambda:Fn", "CONTAINS", None), ("lambda:Fn", "func:src/pkg/__init__.py::main", "DEPENDS_ON", "handler"), ("lambda:Fn", "api:GET /x", "EXPOSES", None), ("lambda:Fn", "table:sqs://jobs", "DEPENDS_ON", "event:sqs"), ("lambda:Fn", "table:orders", "DEPENDS_ON", "env"), ("lambda:Fn", "table:s3://out", "DEPENDS_ON", "env"), ("lambda:Fn", "table:orders", "DEPENDS_ON", "policy")}
+    assert {"table:orders-prod", "table:orders", "table:s3://files"} <= {r[0] for r in _rows(nodes, "id")}
+    framework = {"service": "s", "provider": {"environment": {"MAIN_TABLE": "main"}}, "functions": {"go": {"handler": "a/b.run", "events": [{"http": {"path": "p", "method": "post"}}, {"s3": "in"}, {"sns": "arn:aws:sns:x:1:topic"}, {"schedule": "rate(1 day)"}, "odd"]}}}
+    _, edges = serverless.template_graph(spark, framework)
+    assert {r[1] for r in _rows(edges, "src", "dst")} == {"lambda:go", "func:a/b.py::run", "api:POST p", "table:s3://in", "table:sns://topic", "table:main"}
+    assert [serverless.referred(x) for x in ("!Ref A", "GetAtt B.Arn", {"Fn::ImportValue": "c"}, {"Fn::Sub": ["${D}-x", {}]}, None, 3, [])] == ["A", "B", "c", "D", None, None, None]
