@@ -118,3 +118,41 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     with pytest.raises(SystemExit):
         cli.main(["build", where])
     assert sinks.plain_edges(spark.read.parquet(f"{where}/edges")).count() > 0 and F is not None
+
+
+def test_viewer_and_tools(spark, graph, tmp_path):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from spindle import serve
+
+    sinks.save_parquet(*graph, str(tmp_path / "g"))
+    opened = serve.Graph(spark, str(tmp_path / "g"))
+    known = serve.tools(opened)
+    assert known["node"]("table:a")["rows"][0]["owner"] == "me" and "risk" in known["impact"]("a") and known["hotspots"](1)["rows"][0]["id"] == "table:a"
+    assert {r["node"] for r in known["lineage"]("table:b")["rows"]} == {"table:a", "column:b.k", "dashboard:d"}
+    server = serve.server(opened)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    get = lambda path: urllib.request.urlopen(f"http://127.0.0.1:{server.server_address[1]}{path}").read().decode()
+    try:
+        assert json.loads(get("/api/search?q=a"))["rows"][0] == {"id": "table:a", "score": 100} and json.loads(get("/api/node/table%3Ab"))["name"] == "b"
+        assert "Search" in get("/") and "table:b" in get("/lineage/table:a") and "personal_data" in json.loads(get("/api/report")) and {r["id"] for r in json.loads(get("/api/model"))["rows"]} == {"table:a", "table:b"}
+        for path in ("/api/node/none", "/etc/passwd"):
+            with pytest.raises(urllib.error.HTTPError):
+                get(path)
+    finally:
+        server.shutdown()
+    sinks.save_parquet(graph[0].where("id = 'table:a'"), graph[1].where("false"), str(tmp_path / "g"))
+    assert opened.frames()[0].count() == 1
+
+
+def test_model_report(spark):
+    from spindle.operators import model
+    from spindle.sources.catalog import catalog_graph
+
+    n, e = catalog_graph(spark, "/root/testdata/sf0.001")
+    tables, columns = n.where("type = 'TABLE'"), n.where("type = 'COLUMN'")
+    links, roles = model.key_links(tables, columns, e), model.column_roles(columns, tables)
+    text = report.model_markdown(roles, model.table_roles(tables, roles, links), links)
+    assert "## Bus matrix" in text and "| table:lineitem |" in text and "no date dimension" in text
