@@ -4,7 +4,8 @@ A text is read as tokens (pieces of at most ``PIECE`` characters between white s
 tokens too). A run of ``K`` tokens is an anchor if the least hash among its runs of ``S`` lies at its first or last
 place: a choice that depends on the run alone, so equal passages have equal anchors wherever they stand.
 The fingerprint is the ``SIZE`` least distinct anchor hashes of the whole text; likeness is the share
-of the two fingerprints' common bottom values that both have (an estimate of the anchors' Jaccard similarity).
+of the two fingerprints' common bottom values that both have: an estimate of the anchors' Jaccard similarity j, with a
+standard error of sqrt(j (1 - j) / 96), 0.051 at most; it is exact for texts of up to 48 anchors each.
 
 Only DataFrame expressions. To meet the next document, rows are range-sorted by id alone; each text then moves once, by an
 exchange that both joins read, and its prefix and fingerprint go to the one document that asks for them.
