@@ -1,8 +1,8 @@
 """Groups of rows that near-duplicate links connect, without listing all pairs of a bucket.
 
 ``linked_groups`` takes (key, id) memberships from a banding scheme and a function that
-confirms pairs. Pairs go through each bucket's hubs first: that joins nearly all of a
-large group at a cost linear in its size. What stays apart in a bucket afterwards is
+confirms pairs. Pairs go through each bucket's hub first, the id that meets most others: that joins
+nearly all of a large group at a cost linear in its size. What stays apart in a bucket afterwards is
 compared in full, so no link that the banding can see is lost.
 """
 
@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 
 from .common import discard, let_go, materialise
 
-#: Hub rounds go on while comparing the rest in full would take more than so many pairs a membership.
-REST_PAIRS_A_ROW, MOST_HUB_ROUNDS = 1.0, 1
-
-
 def _state(edges: DataFrame) -> tuple:
     h = F.xxhash64("u", "v")
     row = edges.agg(F.count(F.lit(1)), F.sum(F.shiftright(h, 16)), F.bit_xor(h)).first()
@@ -59,49 +55,34 @@ def linked_groups(members: DataFrame, confirm: Callable[[DataFrame], DataFrame],
     holds for every linked pair: it keeps pairs that can't be linked from being made at all.
     Returns (id, component) of the ids that have a link, and the confirmed links (a, b).
     """
-    spread = members.groupBy("key").agg(F.min("id").alias("h1"), F.max("id").alias("h2"), F.count(F.lit(1)).alias("n"))
-    hubs = spread.select("key", F.explode(F.array("h1", "h2")).alias("hub"))
+    # the id that meets most others: copies of one text are all like it, but often not like one another
+    met = members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").groupBy("id").agg(F.sum("n").alias("met"))
+    most = F.max_by("id", F.struct("met", "id"))
+    spread = materialise(members.join(met, "id").groupBy("key").agg(most.alias("hub"), F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")), "spread")
+    hubs = spread.select("key", F.explode(F.array_distinct(F.when(F.col("n") > 3, F.array("hub")).otherwise(F.array("hub", "low", "high")))).alias("hub"))
     tested = materialise(_pairs(members.join(hubs, "key").where("id <> hub")), "pairs")
     found = confirm(tested)
     links = materialise(found, "links")
     discard(found)
-    # two hubs are compared with all others: that is every pair of a bucket of up to three
+    # two hubs at least of a bucket of up to three: that is every pair of it
     members, whole = materialise(members.join(spread.where("n > 3").select("key"), "key", "left_semi"), "members"), members
-    discard(whole)
+    discard(whole, spread)
     let_go(members.sparkSession)
-    rows = members.count()
     groups = connected_components(links)
-    for round_ in range(MOST_HUB_ROUNDS + 1 if rows else 0):
-        rest = materialise(_rest(members, groups), "rest")
-        known = materialise(bound(rest.select("id").distinct()) if bound else rest.select("id").distinct(), "bounds")
-        x = rest.select("key", "id", "component").join(known, "id").alias("x")
-        y = rest.where("minor").select("key", F.col("id").alias("hub"), "component").join(known.withColumnRenamed("id", "hub"), "hub").alias("y")
-        cost = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("minor").alias("k")).agg(F.sum(F.col("n") * F.col("k"))).first()[0]
-        if not cost:
-            discard(rest, known)
-            break
-        last = cost <= max(10_000, REST_PAIRS_A_ROW * rows) or round_ == MOST_HUB_ROUNDS
-        if not last:
-            order = F.xxhash64("hub", F.lit(round_))
-            chosen = rest.where("minor").select("key", F.col("id").alias("hub")).groupBy("key").agg(F.min_by("hub", order).alias("hub"))
-            y = y.join(chosen, ["key", "hub"], "left_semi").alias("y")
-        apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
-        apart = apart & F.expr(possible) if possible else apart
-        more = materialise(_pairs(x.join(y, apart).select("x.id", "y.hub")).join(tested, ["a", "b"], "left_anti"), "pairs")
-        discard(rest, known)
-        links_, tested_ = links, tested
-        found = confirm(more)
-        links = materialise(links.union(found), "links")
-        discard(found, links_, groups)
-        if last:
-            discard(more, tested, members)
-            return connected_components(links), links
-        tested = materialise(tested.union(more), "pairs")
-        discard(more, tested_)
-        let_go(members.sparkSession)
-        groups = connected_components(links)
-    discard(members, tested)
-    return groups, links
+    rest = materialise(_rest(members, groups), "rest")
+    known = materialise(bound(rest.select("id").distinct()) if bound else rest.select("id").distinct(), "bounds")
+    x = rest.select("key", "id", "component").join(known, "id").alias("x")
+    y = rest.where("minor").select("key", F.col("id").alias("hub"), "component").join(known.withColumnRenamed("id", "hub"), "hub").alias("y")
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
+    apart = apart & F.expr(possible) if possible else apart
+    more = materialise(_pairs(x.join(y, apart).select("x.id", "y.hub")).join(tested, ["a", "b"], "left_anti"), "pairs")
+    discard(rest, known, members, tested)
+    let_go(members.sparkSession)
+    found = confirm(more)
+    links_, groups_ = links, groups
+    links = materialise(links.union(found), "links")
+    discard(found, links_, groups_, more)
+    return connected_components(links), links
 
 
 def _pairs(joined: DataFrame) -> DataFrame:

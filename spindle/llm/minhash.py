@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import bounded, discard, ids_and_texts, materialise, text_bytes, unused
+from .common import bounded, discard, ids_and_texts, let_go, materialise, text_bytes, unused
 from .components import linked_groups
 
 WORDS, PERCENT = 5, 75
 BANDS, ROWS, MANTISSA, SIGMAS = 32, 4, 10, 5.0
 BUCKETS = BANDS * ROWS
+#: Words of 64 parity bits of a set; sizes of sets from which they say little, so that registers are compared too.
+PARITY, LARGE = 16, 1000
 _SHIFT = 64 - int(np.log2(BUCKETS))
 
 
@@ -76,6 +78,14 @@ def registers(rows: np.ndarray, sets: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def parities(rows: np.ndarray, sets: np.ndarray, n: int) -> np.ndarray:
+    """(n, PARITY) int64: bit by bit, whether an odd number of a set's hashes fall on it. Where two sets differ in a bit, an element of
+    only one of them falls on it, so they have at least as many of those as bits that differ."""
+    bits = 64 * PARITY
+    count = np.bincount(rows * bits + (hashing.mix(sets) % np.uint64(bits)).astype(np.int64), minlength=n * bits)
+    return np.packbits((count & 1).astype(np.uint8).reshape(n, bits), axis=1, bitorder="little").view("<i8").astype(np.int64)
+
+
 def band_keys(regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of every band that holds something."""
     parts = regs.reshape(len(regs), BANDS, ROWS)
@@ -131,18 +141,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in bounded(batches, 1):
         rows, sets = shingle_sets(batch.column(1))
         edge = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(batch)))]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(_fingerprint(sets, edge, 0)), pa.ListArray.from_arrays(edge, pa.array(sets.view(np.int64)))], names=["id", "shingles"])
-
-
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Filled registers as numbers that are equal where bucket and value are."""
-    for batch in batches:
-        if len(batch):
-            regs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, BUCKETS)
-            row, bucket = np.nonzero(regs)
-            edge = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(regs)))]).astype(np.int32)
-            cells = pa.array(bucket.astype(np.int32) << 16 | regs[row, bucket].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(edge, cells)], names=["id", "n", "cells"])
+        size = np.diff(edge)
+        odd = pa.FixedSizeListArray.from_arrays(pa.array(parities(rows, sets, len(batch)).reshape(-1)), PARITY).cast(pa.list_(pa.int64()))
+        # filled registers of large sets as numbers that are equal where bucket and value are
+        regs = registers(rows, sets, len(batch))
+        regs[size < LARGE] = 0
+        row, bucket = np.nonzero(regs)
+        cells = pa.ListArray.from_arrays(np.searchsorted(row, np.arange(len(batch) + 1)).astype(np.int32), pa.array(bucket.astype(np.int32) << 16 | regs[row, bucket].astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([pa.array(_fingerprint(sets, edge, 0)), pa.ListArray.from_arrays(edge, pa.array(sets.view(np.int64))), pa.array(size.astype(np.int64)), odd, cells], names=["id", "shingles", "n", "odd", "cells"])
 
 
 def _likely(percent: int):
@@ -172,10 +178,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     banded = reps.select(F.explode("bands").alias("key"), "id")
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = materialise(banded.join(shared, "key"), "members")
+    del banded, shared
+    let_go(docs.sparkSession)
     involved = reps.join(members.select("id").distinct(), "id", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
     texts = ids_and_texts(docs).join(involved, "doc_id", "left_semi")
-    sets = materialise(texts.mapInArrow(_sets, "id long, shingles array<long>"), "sets")
-    sketch = reps.select("id", "regs", "n_shingles")
+    sets = materialise(texts.mapInArrow(_sets, "id long, shingles array<long>, n long, odd array<long>, cells array<int>"), "sets")
+    sketch, full_sets = reps.select("id", "regs", "n_shingles"), sets.select("id", "shingles")
 
     def side(of: DataFrame, name: str) -> DataFrame:
         return of.select(*[F.col(c).alias(name if c == "id" else f"{c}_{name}") for c in of.columns])
@@ -185,22 +193,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         likely = likely.mapInArrow(_likely(percent), "a long, b long")
         same = F.size(F.array_intersect("shingles_a", "shingles_b"))
         union = F.size("shingles_a") + F.size("shingles_b") - F.col("same")
-        both = likely.join(side(sets, "a"), "a").join(side(sets, "b"), "b")
+        both = likely.join(side(full_sets, "a"), "a").join(side(full_sets, "b"), "b")
         return both.withColumn("same", same).where(100 * F.col("same") >= percent * union).select("a", "b").distinct()
 
     def bound(ids: DataFrame) -> DataFrame:
-        """n: a set's size; s: how many of its shingles another of these sets has too."""
-        each = sets.join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", F.explode("shingles").alias("shingle"))
-        shared = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-        counted = each.join(shared, "shingle").groupBy("id").agg(F.count(F.lit(1)).alias("s"))
-        own = reps.select("id", F.col("n_shingles").alias("n"), "regs").join(ids, "id", "left_semi")
-        return own.mapInArrow(_cells, "id long, n long, cells array<int>").join(counted, "id", "left").fillna(0, ["s"])
-
-    # an intersection is within what both sets share with others, so its size is at most the lesser s, and the union's at least the rest
-    possible = f"(100 + {percent}) * least(x.s, y.s) >= {percent} * (x.n + y.n) and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+        return sets.select("id", "n", "odd", "cells").join(ids, "id", "left_semi").dropDuplicates(["id"])
+
+    # elements of only one of two linked sets are a small share of both sets' sizes, and no fewer than the parity bits that differ
+    differ = " + ".join(f"bit_count(x.odd[{i}] ^ y.odd[{i}])" for i in range(PARITY))
+    possible = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and (100 + {percent}) * ({differ}) <= (100 - {percent}) * (x.n + y.n)"
     # and the estimate's margin, on registers as (bucket, value): the number that agree can't be far below the limit's share
     used = "greatest(size(x.cells), size(y.cells))"
-    possible += f" and size(array_intersect(x.cells, y.cells)) >= {percent / 100} * {used} - {SIGMAS * np.sqrt(percent / 100 * (1 - percent / 100))} * sqrt({used})"
+    margin = f"size(array_intersect(x.cells, y.cells)) >= {percent / 100} * {used} - {SIGMAS * np.sqrt(percent / 100 * (1 - percent / 100))} * sqrt({used})"
+    possible += f" and (least(x.n, y.n) < {LARGE} or {margin})"
     groups, links = linked_groups(members, confirm, bound, possible)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     classes = classes.withColumn("id", F.col("f1")).join(groups, "id", "left").join(degree, "id", "left")

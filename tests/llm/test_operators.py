@@ -179,6 +179,34 @@ def test_components(spark):
     assert sorted(map(tuple, got)) == sorted((x, root(x)) for x in parent)
 
 
+def test_copies_meet_their_original_first(spark):
+    """Copies that are like one original but not like one another: pairs tested stay in proportion to them."""
+    n, tested = 60, []
+    shared = [(k, i) for k in (0, 1) for i in range(n)] + [(100 + i, i) for i in range(n)] + [(100 + i, 30) for i in range(n) if i != 30]
+
+    def confirm(pairs):
+        tested.append(pairs.count())
+        return components.materialise(pairs.where("a = 30 or b = 30"), "found")
+
+    members = components.materialise(spark.createDataFrame(shared, "key long, id long"), "members")
+    groups, links = components.linked_groups(members, confirm)
+    assert sorted(map(tuple, groups.collect())) == [(i, 0) for i in range(n)] and links.count() == n - 1
+    assert sum(tested) <= 2 * n, tested
+
+
+def test_op2_parity_bits():
+    r = np.random.default_rng(3)
+    for n in (1, 5, 60, 800, 5000):
+        for lost in (0, 1, n // 20, n // 5):
+            a = r.integers(0, 2**64, n, np.uint64)
+            b = np.concatenate([a[lost:], r.integers(0, 2**64, lost, np.uint64)])
+            rows = np.repeat([0, 1], [n, n])
+            x, y = minhash.parities(rows, np.concatenate([a, b]), 2)
+            differ = sum(int(v).bit_count() for v in (x ^ y).view(np.uint64))
+            assert differ <= 2 * lost
+            assert lost > 200 or differ >= 1.2 * lost
+
+
 def test_op3_fingerprints(docs):
     rows = _rows(docs)
     order = sorted(set(rows), key=lambda x: (x[0] is None, -(x[0] or 0)))
