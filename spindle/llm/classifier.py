@@ -47,9 +47,10 @@ def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         size = np.bincount(passage, minlength=count)
         first = np.flatnonzero(new)
         lo, hi = starts[first], ends[first + size - 1]
+        own = data[lo[0] : hi[-1]]  # ``texts`` may be a slice of a far larger batch
         for k in range(len(_SETS)):
-            total = np.concatenate([[0], np.cumsum(_CLASSES[k][data[: hi[-1]]], dtype=np.int64)])
-            x[:, k] = (total[hi] - total[lo]) / (hi - lo)
+            total = np.concatenate([[0], np.cumsum(_CLASSES[k][own], dtype=np.int64)])
+            x[:, k] = (total[hi - lo[0]] - total[lo - lo[0]]) / (hi - lo)
         length = (ends - starts).astype(np.float64)
         h = hashing.hash_words(data, starts, ends, lower=True)
         order = np.lexsort((h, passage))

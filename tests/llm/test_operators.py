@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -585,6 +586,18 @@ def test_op9_scores(docs, spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in out)
 
 
+def test_op9_slice_of_a_batch_costs_its_own_size():
+    import pyarrow as pa
+
+    texts = pa.array(["many words of a long text " * 40_000] * 8 + ["a few words, 3 of them!\nA line."])
+    tracemalloc.start()
+    x, owner = classifier.encode(texts.slice(8))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    alone, _ = classifier.encode(pa.array(texts.slice(8).to_pylist()))
+    assert peak < 4_000_000 and owner.tolist() == [0] and np.array_equal(x, alone)
+
+
 def test_op9_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
