@@ -534,6 +534,22 @@ def test_op8_unspaced(spark):
     assert {x["doc_id"]: x["removed"] for x in lines.line_report(frame).collect()} == {1: "", 2: "0,1,2"}
 
 
+def test_op8_keys_go_kind_by_kind(spark, monkeypatch):
+    """All similar lines are found though no exchange holds the keys of all lines, and only lines that are compared move."""
+    r, written = random.Random(11), defaultdict(list)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(3, 9)))
+    texts = [" ".join(word() for _ in range(n)) for n in (3, 4, 5, 6, 7, 8, 9, 12, 30, 90) for _ in range(3)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t[:4] + "z" + t[5:]) for i, t in enumerate(texts) if len(t) >= 10]
+    keep = lines.materialise
+    monkeypatch.setattr(lines, "materialise", lambda df, name: written[name].append(out := keep(df, name)) or out)
+    counted = []
+    monkeypatch.setattr(lines, "discard", lambda *tables: counted.extend(len(x.select("id").distinct().collect()) for x in tables if x in written["kind"]))
+    got = {x["doc_id"]: x["removed"] for x in lines.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, x in got.items() if x} == {i for i, _ in rows if i >= 100}
+    assert len(counted) == len(lines.SHORT) + 1 and all(n < 2 * len(texts) for n in counted)
+    assert all(x.count() <= 2 * len(texts) for x in written["met"]) and written["met"]
+
+
 def test_op8_simhash(spark):
     words = [[f"w{i * j}" for i in range(n)] for j, n in ((1, 3), (3, 100), (7, 300), (5, 40000))]
     frame = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, words array<string>")
