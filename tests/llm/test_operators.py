@@ -550,6 +550,28 @@ def test_op8_keys_go_kind_by_kind(spark, monkeypatch):
     assert all(x.count() <= 2 * len(texts) for x in written["met"]) and written["met"]
 
 
+def test_op8_unlike_lines_are_not_compared(spark, monkeypatch):
+    """Lines that share words at another place or in another length make no pairs; like lines of any lengths do."""
+    r, compared, linked = random.Random(31), [], lines.linked_groups
+    word = lambda: "".join(r.choice("etaonihrsdl") for _ in range(5))
+    line = lambda before, n: " ".join([*(word() for _ in range(before)), "extraordinarily unconstitutional", *(word() for _ in range(n - before))])
+
+    def counting(members, confirm, *more):
+        return linked(members, lambda pairs: compared.extend(pairs.collect()) or confirm(pairs), *more)
+
+    monkeypatch.setattr(lines, "linked_groups", counting)
+    report = lambda texts: {x["doc_id"] for x in lines.line_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() if x["n_removed"]}
+    assert not report([line(k, 100) for k in range(0, 100, 20)] + [line(0, n) for n in (30, 60)])
+    assert not compared
+    like = []
+    for n in range(6, 90, 2):
+        own = " ".join(word() for _ in range(n))
+        room = (len(own) + len(own) // 10) // 10
+        like += [own, f"{own} {'x' * (room - 1)}"]
+    assert report(like) == set(range(1, len(like), 2))
+    assert len(compared) < 2 * len(like)
+
+
 def test_op8_simhash(spark):
     words = [[f"w{i * j}" for i in range(n)] for j, n in ((1, 3), (3, 100), (7, 300), (5, 40000))]
     frame = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, words array<string>")
