@@ -136,12 +136,12 @@ def judged(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float
 def accepted(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
     """The rows of ``docs`` that neither the base rule nor a certified cutoff rejects, as they are.
 
-    Statistics are taken twice, once for the thresholds and once beside each text, so that no text is shuffled.
+    Statistics are taken once: the rows that pass the base rule are written with them, and read twice.
     """
-    rows = materialise(_statistics(base_statistics(docs)), "statistics")
-    cuts = materialise(thresholds(rows, labels, risk, error), "cuts")
     whole = F.struct(*docs.columns)
     beside = _statistics(base_statistics(docs.select("doc_id", "lang", "text", whole.alias("whole")), "whole"), "whole")
     # a filter on a column that isn't deterministic stays above it; pushed down, it would repeat the array expressions many times over
-    beside = beside.withColumn("row", F.monotonically_increasing_id())
-    return _with_verdict(beside, cuts).where("kept and row >= 0").select("whole.*")
+    beside = beside.withColumn("row", F.monotonically_increasing_id()).where("not base_failed and row >= 0").drop("row")
+    rows = materialise(beside, "passed")
+    cuts = materialise(thresholds(rows, labels, risk, error), "cuts")
+    return _with_verdict(rows, cuts).where("kept").select("whole.*")

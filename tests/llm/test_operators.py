@@ -590,6 +590,16 @@ def _edited(r, line, n):
     return "".join(out)
 
 
+def test_op1_statistics_are_taken_once(spark, monkeypatch):
+    """The pipeline's stage works the rules out once and keeps the rows that the query keeps, as they are."""
+    docs, labels, calls, own = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"), [], quality_rules.base_statistics
+    wanted = sorted(x["doc_id"] for x in quality_rules.judged(docs, labels).where("kept").collect())
+    monkeypatch.setattr(quality_rules, "base_statistics", lambda *a: calls.append(a) or own(*a))
+    out = quality_rules.accepted(docs, labels)
+    assert sorted(x["doc_id"] for x in out.collect()) == wanted and len(calls) == 1
+    assert out.schema.names == docs.schema.names and out.exceptAll(docs).count() == 0
+
+
 def test_op8_recall(spark):
     """Of all pairs of lines within edit similarity 0.9, by brute force: none of under 60 characters is missed, and hardly any other."""
     r = random.Random(17)
