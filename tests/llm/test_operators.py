@@ -550,6 +550,22 @@ def test_op8_keys_go_kind_by_kind(spark, monkeypatch):
     assert all(x.count() <= 2 * len(texts) for x in written["met"]) and written["met"]
 
 
+def test_op8_keys_of_long_lines_go_in_parts(spark, monkeypatch):
+    """No exchange holds the keys of long lines of all lengths, and lines meet across the cut."""
+    r, written = random.Random(5), defaultdict(list)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(3, 9)))
+    edge = next(n for n in range(60, 4000) if n >= lines.SPAN ** lines.CUTS[1])
+    texts = [" ".join(word() for _ in range(n)) for n in (12, 20, 150, 200)] + [" ".join(word() for _ in range(edge))[: edge - 3 + 2 * i].strip() + "x" for i in range(4)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t[:9] + "zzzz" + t[9:]) for i, t in enumerate(texts)]
+    keep = lines.materialise
+    monkeypatch.setattr(lines, "materialise", lambda df, name: written[name].append(out := keep(df, name)) or out)
+    held = []
+    monkeypatch.setattr(lines, "discard", lambda *tables: held.extend({x["id"] for x in t.select("id").collect()} for t in tables if any(t is p for p in written["part"])))
+    got = {x["doc_id"]: x["removed"] for x in lines.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, x in got.items() if x} == {i for i, _ in rows if i >= 100}
+    assert len(held) == len(lines.CUTS) - 1 and all(4 <= len(x) <= 12 for x in held), list(map(len, held))
+
+
 def test_op8_unlike_lines_are_not_compared(spark, monkeypatch):
     """Lines that share words at another place or in another length make no pairs; like lines of any lengths do."""
     r, compared, linked = random.Random(31), [], lines.linked_groups
