@@ -28,7 +28,9 @@ from . import lexicon
 from .common import bounded, discard, ids_and_texts, materialise, ship, shipped, shuffle_width
 from .memo import Memo
 
-CAPACITY, END, WORDS = 2048, 0, 300_000
+CAPACITY, END, WORDS = 2048, 0, 600_000
+#: Bytes of texts that are encoded together: a word that several of them have is looked up once, and new words are merged in larger blocks.
+BATCH = 12 << 20
 
 
 class Ids:
@@ -52,7 +54,7 @@ def _ids(path: str) -> Ids:
 def _cutter(name: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, end, step = _ids(shipped(name)), np.array([END], "<u4").tobytes(), 4 * capacity
-        for batch in bounded(batches, 1):
+        for batch in bounded(batches, 1, BATCH):
             doc, piece, start, length, crc = [], [], [], [], []
             for d, raw in zip(batch.column(0).to_pylist(), ids.encode([t or "" for t in batch.column(1).to_pylist()])):
                 raw += end

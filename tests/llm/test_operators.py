@@ -7,6 +7,7 @@ import re
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -534,6 +535,17 @@ def test_op8_unspaced(spark):
     assert {x["doc_id"]: x["removed"] for x in lines.line_report(frame).collect()} == {1: "", 2: "0,1,2"}
 
 
+def test_op6_words_are_encoded_once():
+    """Over half a million words are remembered, as many as the texts of a task have."""
+    ids, made = packing.Ids(vocabulary("word_bpe_49k.json")), []
+    ids.lexicon = SimpleNamespace(pack=lambda words: made.extend(words) or [w.encode() for w in words])
+    for _ in range(2):
+        for k in range(59):
+            text = " ".join(f"w{i}" for i in range(10_000 * k, 10_000 * (k + 1)))
+            assert ids.encode([text]) == [text.replace(" ", "").encode()]
+    assert len(made) == 590_000
+
+
 def test_op8_keys_go_kind_by_kind(spark, monkeypatch):
     """All similar lines are found though no exchange holds the keys of all lines, and only lines that are compared move."""
     r, written = random.Random(11), defaultdict(list)
