@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spindle.llm import bpe_codec, classifier, components, hashing, lexicon, lines, minhash, packing, pii, quality_rules, substring, syncmers, token_counts, transducer
+from spindle.llm import bpe_codec, classifier, common, components, hashing, lexicon, lines, minhash, packing, pii, quality_rules, substring, syncmers, token_counts, transducer
 from spindle.llm.queries import vocabulary
 
 SF = "/root/testdata/sf0.001"
@@ -617,6 +617,49 @@ def test_op8_unlike_lines_are_not_compared(spark, monkeypatch):
     assert len(compared) < 2 * len(like)
 
 
+def test_op8_unlike_lines_are_not_compared_in_full(spark, monkeypatch):
+    """Lines of like lengths and letters that share words go no further than their rare characters, in slices; edited ones do, at any length."""
+    r, written = random.Random(41), defaultdict(list)
+    words = ["".join(r.choice("etaoinshrdlucmgw") for _ in range(6)) for _ in range(40)]
+    shared = "extraordinarily unconstitutional"
+    unlike = [" ".join([shared, *r.sample(words, 40)]) for _ in range(12)]
+    like = [" ".join([shared, *("".join(r.choice("etaoinbcdfgp") for _ in range(7)) for _ in range(n))]) for n in (30, 90, 200)]
+    edited = [t[:50] + "q" * 9 + t[50:] for t in like]
+    keep = lines.materialise
+    monkeypatch.setattr(lines, "materialise", lambda df, name: (lambda out: written[name].append(out.count()) or out)(keep(df, name)))
+    got = {x["doc_id"]: x["n_removed"] for x in lines.line_report(spark.createDataFrame(list(enumerate(unlike + like + edited)), "doc_id long, text string")).collect()}
+    assert {i for i, n in got.items() if n} == set(range(15, 18))
+    assert sum(written["near"]) > 3 and sum(written["like"]) == sum(written["alike"]) == 3, dict(written)
+
+
+def test_op8_exact_tests_agree(spark):
+    """What is compared first rules out no lines that are alike."""
+    r, rows = random.Random(43), []
+    for n in (60, 300, 520, 900, 1500):
+        for _ in range(12):
+            line = "".join(r.choice("etaoins bcdé日") for _ in range(n))
+            rows.append((line, _edited(r, line, r.randint(n // 14, n // 8))))
+            rows.append((line, line[: n // 2] + "x" * r.randint(n // 14, n // 8) + line[n // 2 :]))
+    pairs = spark.createDataFrame(rows, "na string, nb string").withColumn("edits", lines._edits(F.greatest(F.length("na"), F.length("nb"))).cast("int"))
+    pairs = pairs.withColumns({"ra": lines._rare(F.col("na")), "rb": lines._rare(F.col("nb"))})
+    out = pairs.select((F.levenshtein("na", "nb") <= F.col("edits")).alias("so"), lines._alike("na", "nb", "edits").alias("alike"), lines._maybe_alike("ra", "rb", "edits").alias("maybe")).collect()
+    assert all(x["alike"] == x["so"] and (x["maybe"] or not x["so"]) for x in out) and 10 < sum(x["so"] for x in out) < len(out) - 10
+
+
+def test_shuffle_files_go_with_what_is_written(spark):
+    """A table on the way leaves no shuffle files, though its frame is still held and no garbage is collected."""
+    from pathlib import Path
+
+    folders = [Path(str(x)) for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {p.name for d in folders for p in d.rglob("shuffle_*.data")}
+    before, had = spark.conf.get(common.CLEANUP, None), files()
+    frame = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    out = common.materialise(frame, "test")
+    assert not files() - had and spark.conf.get(common.CLEANUP, None) == before
+    assert out.count() == 7
+    common.discard(out)
+
+
 def test_op8_simhash(spark):
     words = [[f"w{i * j}" for i in range(n)] for j, n in ((1, 3), (3, 100), (7, 300), (5, 40000))]
     frame = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, words array<string>")
